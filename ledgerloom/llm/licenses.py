@@ -100,14 +100,11 @@ def oracle_sql(known=SENTENCES, rules=RULES) -> str:
         steps.append(f"l{k + 1} AS (SELECT * EXCLUDE (lft), contains(lft, '{pattern}') AS hit{k}, replace(lft, '{pattern}', ',#,') AS lft FROM {last})")
         last = f"l{k + 1}"
     hits = ", ".join(f"CASE WHEN hit{k} THEN '{name}' END" for k, (name, _) in enumerate(rules))
-    names = list(dict.fromkeys(name for name, _ in rules))
-    order = "[" + ", ".join(f"'{n}'" for n in names) + "]"
-    del order
     return f"""
 WITH s AS (
   SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '[\\n\\r]+|[.;:!?]+(?:[ \\t\\n\\r]+|$)'),
-         x -> trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), x -> x <> '') AS ss FROM documents),
-i AS (SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, x -> CASE x {cases} END), x -> x IS NOT NULL) AS ids FROM s),
+         lambda x: trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS ss FROM documents),
+i AS (SELECT doc_id, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda x: CASE x {cases} END), lambda x: x IS NOT NULL) AS ids FROM s),
 l0 AS (SELECT *, ',' || coalesce(array_to_string(ids, ',,'), '') || ',' AS lft FROM i),
 {", ".join(steps)}
 SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, CAST(len(ids) AS BIGINT) AS n_known,

@@ -116,16 +116,16 @@ def measure(docs: DataFrame, model: list[float], *, text_col: str = "text", thre
     step3 = step2.withColumn("__g", _ngrams(F.col("__h"), buckets)).withColumn("__lines", lines).withColumn("__repeat", repeat_words(F.col("__h")))
     bad = (n < MIN_WORDS) | (F.col("__repeat") * 100 > n * MAX_REPEAT_PERCENT)
     score = F.when(F.size("__g") > 0, total(F.col("__g")) / F.size("__g")).otherwise(F.lit(0.0))
-    return step3.withColumn("__score", score).withColumn(
-        "quality",
-        F.struct(
-            n.alias("n_words"),
-            F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-            F.col("__repeat").alias("n_repeat_words"),
-            bad.alias("base_failed"),
-            F.col("__score").alias("score"),
-            (~bad & (F.col("__score") >= threshold)).alias("kept"),
-        ),
-    ).drop("__w", "__h", "__g", "__lines", "__repeat", "__score")
+    measured = F.struct(
+        n.alias("n_words"),
+        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        F.col("__repeat").alias("n_repeat_words"),
+        bad.alias("base_failed"),
+        F.col("__score").alias("score"),
+        (~bad & (F.col("__score") >= threshold)).alias("kept"),
+    )
+    rest = [c for c in docs.columns if c != "quality"]
+    # a generator, so that a filter on the result isn't pushed below it, where it would compute everything again
+    return step3.withColumn("__score", score).select(*rest, F.explode(F.array(measured)).alias("quality"))

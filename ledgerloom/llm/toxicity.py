@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,8 +159,6 @@ def _logistic(slots: list[bytes], toxic: list[int], ratios: list[float], l2: flo
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with a last column `toxicity` double from 0 to 1, of the whole text; a column of docs
     that is called toxicity is replaced. Null and empty texts are scored as empty ones."""
-    import pandas as pd
-
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KEPT_FEATURES weights at most
 
     @F.pandas_udf(T.DoubleType())
