@@ -2,8 +2,7 @@
 
 A text is cut into pre-tokens; a pre-token's bytes are merged lowest rank first, leftmost first
 among equals. The queue of a pre-token's pairs is a hierarchical bitmap over the ranks: a bucket
-per rank holds linked-list positions, find-first-set over three levels of 64-bit words picks the
-next rank, and entries that a merge has made stale are skipped. A pre-token of n bytes costs
+per rank holds linked-list positions, find-first-set over two levels of bits picks the next rank, and entries that a merge has made stale are skipped. A pre-token of n bytes costs
 O(n log n), so one of a million bytes is no special case.
 """
 
@@ -13,62 +12,33 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
+from struct import pack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Ids of so many different pre-tokens of at most MAX_CACHED characters are kept by a worker.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 600_000
 MAX_CACHED = 64
 #: Texts that are handed to Spark together.
 BATCH_TEXTS = 256
 
 
-class RankQueue:
-    """Positions by rank. pop() gives the least (rank, position) that was pushed."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.low[rank >> 6] |= 1 << (rank & 63)
-            self.mid[rank >> 12] |= 1 << ((rank >> 6) & 63)
-            self.top |= 1 << (rank >> 12)
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = (a << 6) + (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = (b << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= self.low[b] - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
-
-
 class Merger:
-    """Ids of one pre-token. ranks: bytes of every token to its rank, which is its id."""
+    """Ids of one pre-token. ranks: bytes of every token to its rank, which is its id.
+
+    The queue's parts: low, a word of 64 ranks each; top, one bit for each word that isn't 0, as one
+    integer, whose lowest set bit is found as fast as that of a machine word; buckets, the positions
+    of each rank: one number, or a heap from the second position on.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
+        self.low = [0] * ((max(ranks.values(), default=0) >> 6) + 1)
+        #: Rank of two bytes by their values.
+        self.two = [[ranks.get(bytes((a, b))) for b in range(256)] for a in range(256)]
+        #: Word and bit of each rank.
+        self.place = [(r >> 6, 1 << (r & 63)) for r in range(64 * len(self.low))]
 
     def ids(self, piece: bytes) -> list[int]:
         ranks = self.ranks
@@ -76,17 +46,37 @@ class Merger:
         if whole is not None:
             return [whole]
         n = len(piece)
-        queue, rank_of = self.queue, ranks.get
-        push = queue.push
-        pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
+        two, rank_of, low, place, top, buckets = self.two, ranks.get, self.low, self.place, 0, {}
+        pair = [two[a][b] for a, b in zip(piece, piece[1:])]  # noqa: B905
         pair.append(None)
-        end = list(range(1, n + 1))  # of the token that starts at i; also the next token's start
-        before = list(range(-1, n - 1))
-        for i, rank in enumerate(pair):
+        end = [*range(1, n + 1)]  # of the token that starts at i; also the next token's start
+        before = [*range(-1, n)]
+        i = 0
+        for rank in pair:
             if rank is not None:
-                push(rank, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
+                if rank in buckets:
+                    self._push(buckets, rank, i)
+                else:
+                    buckets[rank] = i
+                    word, bit = place[rank]
+                    low[word] |= bit
+                    top |= 1 << word
+            i += 1
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << 6) + (bits & -bits).bit_length() - 1
+            i = buckets[rank]
+            if type(i) is int:
+                del buckets[rank]
+                bits &= bits - 1
+                low[word] = bits
+                if not bits:
+                    top &= top - 1
+            else:
+                bucket, i = i, heappop(i)
+                if len(bucket) == 1:
+                    buckets[rank] = bucket[0]
             if pair[i] != rank:
                 continue  # stale: one of the two tokens has been merged otherwise
             j = end[i]
@@ -94,22 +84,43 @@ class Merger:
             pair[j] = None
             if stop < n:
                 before[stop] = i
-                pair[i] = fresh = rank_of(piece[i : end[stop]])
-                if fresh is not None:
-                    push(fresh, i)
+                pair[i] = got = rank_of(piece[i : end[stop]])
+                if got is not None:
+                    if got in buckets:
+                        self._push(buckets, got, i)
+                    else:
+                        buckets[got] = i
+                        word, bit = place[got]
+                        low[word] |= bit
+                        top |= 1 << word
             else:
                 pair[i] = None
             h = before[i]
             if h >= 0:
-                pair[h] = fresh = rank_of(piece[h:stop])
-                if fresh is not None:
-                    push(fresh, h)
+                pair[h] = got = rank_of(piece[h:stop])
+                if got is not None:
+                    if got in buckets:
+                        self._push(buckets, got, h)
+                    else:
+                        buckets[got] = h
+                        word, bit = place[got]
+                        low[word] |= bit
+                        top |= 1 << word
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            stop = end[i]
+            out.append(ranks[piece[i:stop]])
+            i = stop
         return out
 
+    @staticmethod
+    def _push(buckets: dict, rank: int, i: int) -> None:
+        bucket = buckets[rank]
+        if type(bucket) is int:
+            buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
+        else:
+            heappush(bucket, i)
+
 
 class TwoGenerations(dict):
     """A bounded cache: full, it becomes the old generation, whose entries return when used."""
@@ -162,11 +173,20 @@ class Splitter:
             self.slow = regex.compile(exact.replace("LATE", spelled))
 
     def __call__(self, text: str) -> list[str]:
-        if self.odd is not None and not text.isascii() and self.odd.search(text):
+        if self.odd is not None and not text.isascii() and not _latin(text) and self.odd.search(text):
             return self.slow.findall(text)
         return self.fast.findall(text)
 
 
+def _latin(text: str) -> bool:
+    """Whether all characters are among the first 256, which no Unicode version has changed."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def _runs(chars: list[str]) -> list[tuple[int, int]]:
     runs: list[list[int]] = []
     for c in map(ord, chars):
@@ -200,7 +220,8 @@ class ByteBPE:
         merger = Merger(ranks)
 
         def packed(piece: str) -> bytes:
-            return b"".join(i.to_bytes(4, "little") for i in merger.ids(piece.encode()))
+            ids = merger.ids(piece.encode())
+            return pack(f"<{len(ids)}I", *ids)
 
         self.pieces = TwoGenerations(packed, cache_entries)
 

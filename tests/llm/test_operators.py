@@ -111,20 +111,6 @@ def test_bpe_equals_library_and_round_trips(spark, docs):
         assert bytes(r["decoded"]) == text.encode() and r["n_tokens"] * 4 == len(r["ids_le"])
 
 
-def test_rank_queue_serves_least_first():
-    queue, rng = bpe.RankQueue(50_000), random.Random(1)
-    held = []
-    for _ in range(3000):
-        if rng.random() < 0.6 or not held:
-            item = (rng.choice([3, 64, 4095, 4096, 49_999, rng.randrange(50_000)]), rng.randrange(1000))
-            queue.push(*item)
-            held.append(item)
-        else:
-            assert queue.pop() == min(held)
-            held.remove(min(held))
-    assert [queue.pop() for _ in range(len(held))] == sorted(held) and queue.pop() is None
-
-
 def test_merger_handles_ranks_out_of_training_order():
     ranks = {bytes([b]): b for b in range(256)} | {b"bc": 256, b"abc": 257, b"ab": 300, b"abab": 258, b"aa": 301}
     def plain(piece):
@@ -136,8 +122,8 @@ def test_merger_handles_ranks_out_of_training_order():
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
     merger = bpe.Merger(ranks)
     rng = random.Random(2)
-    for _ in range(500):
-        piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
+    for k in range(500):
+        piece = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14) if k else 3000))
         if piece not in ranks:
             assert merger.ids(piece) == plain(piece)
 
