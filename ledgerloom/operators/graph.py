@@ -2,7 +2,8 @@
 
 nodes(id), edges(id, dep_id[, coeff]): id depends on dep_id. Unknown dependencies, self loops and
 repeated edges don't count for order. Rounds of joins run until nothing changes; each round is
-written out, so its plan stays short.
+written out, so its plan stays short. Graphs that a count shows to have at most DRIVER_EDGES edges
+and as many nodes are handled on the driver instead.
 """
 
 from __future__ import annotations
@@ -15,6 +16,71 @@ from pyspark.sql import functions as F
 MAX_ROUNDS = 10_000
 #: A strongly connected component of over so many nodes is solved, with a warning.
 LARGE = 15
+#: Up to so many nodes, and edges, a graph is small enough for the driver.
+DRIVER_EDGES = 50_000
+
+
+def _small_graph(ids: DataFrame, edges: DataFrame) -> tuple[list, dict] | None:
+    """Nodes and their dependencies on the driver, if a count shows that they are few."""
+    if ids.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES or edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
+        return None
+    needs: dict = {r["id"]: [] for r in ids.collect()}
+    for r in edges.collect():
+        needs[r["id"]].append(r["dep_id"])
+    return list(needs), needs
+
+
+def _small_levels(needs: dict) -> list[tuple]:
+    users: dict = {n: [] for n in needs}
+    open_ = {n: len(ds) for n, ds in needs.items()}
+    for n, ds in needs.items():
+        for m in ds:
+            users[m].append(n)
+    level = {n: 0 for n, k in open_.items() if not k}
+    queue = list(level)
+    for n in queue:
+        for u in users[n]:
+            open_[u] -= 1
+            if not open_[u]:
+                level[u] = 1 + max(level[m] for m in needs[u])
+                queue.append(u)
+    return [(n, level.get(n, -1)) for n in needs]
+
+
+def _small_scc(needs: dict) -> list[tuple]:
+    """Two depth-first passes: finishing order, then the reversed graph in its reverse."""
+    users: dict = {n: [] for n in needs}
+    for n, ds in needs.items():
+        for m in ds:
+            users[m].append(n)
+    order, seen = [], set()
+    for start in needs:
+        stack = [(start, iter(needs[start]))] if start not in seen else []
+        seen.add(start)
+        while stack:
+            n, rest = stack[-1]
+            m = next((x for x in rest if x not in seen), None)
+            if m is None:
+                order.append(n)
+                stack.pop()
+            else:
+                seen.add(m)
+                stack.append((m, iter(needs[m])))
+    out, placed = [], set()
+    for start in reversed(order):
+        if start in placed:
+            continue
+        group, queue = [], [start]
+        placed.add(start)
+        while queue:
+            n = queue.pop()
+            group.append(n)
+            fresh = [u for u in users[n] if u not in placed]
+            placed |= set(fresh)
+            queue += dict.fromkeys(fresh)
+        least = min(group)
+        out += [(n, least) for n in group]
+    return out
 
 
 def _staged(df: DataFrame) -> DataFrame:
@@ -48,6 +114,8 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = nodes.select("id").distinct()
     left, open_ = _staged(clean_edges(nodes, edges)), _staged(ids)
+    if small := _small_graph(open_, left):
+        return nodes.sparkSession.createDataFrame(_small_levels(small[1]), f"id {dict(nodes.dtypes)['id']}, level int")
     placed: list[DataFrame] = []
     for level in range(MAX_ROUNDS):
         free = _staged(open_.join(left.select("id").distinct(), "id", "left_anti"))
@@ -83,6 +151,9 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = _staged(nodes.select("id").distinct())
     live = _staged(clean_edges(nodes, edges))
+    if small := _small_graph(ids, live):
+        id_type = dict(nodes.dtypes)["id"]
+        return nodes.sparkSession.createDataFrame(_small_scc(small[1]), f"id {id_type}, scc {id_type}")
     done = []
     for _ in range(MAX_ROUNDS):
         # trim: nodes without edges in or out are alone

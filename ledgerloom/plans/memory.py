@@ -40,7 +40,7 @@ def apply_with_memory(engine: FormulaEngine, df: DataFrame, partition_by: list[s
 
     sample = outputs(F.struct(*fields), start, F.lit(0))
     probe = df.select(*[c for c in sample]).schema
-    out_type = T.StructType(probe.fields)
+    out_type = T.StructType([T.StructField(f.name, f.dataType) for f in probe.fields])
     empty = F.array().cast(T.ArrayType(out_type))
 
     def step(acc: Column, item: Column) -> Column:

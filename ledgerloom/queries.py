@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,9 +122,9 @@ def q_group_sum_count_avg(spark, d):
     return a.join(b, "o_orderpriority").join(c, "o_orderpriority").select("o_orderpriority", F.round("group_sum", 2).alias("group_sum"), "group_count", F.round("group_avg", 4).alias("group_avg"))
 
 
-@query("SELECT l_orderkey, sum(q) AS unique_sum FROM (SELECT l_orderkey, l_suppkey, arg_min(l_quantity, l_linenumber) AS q FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sum(q) AS unique_sum FROM (SELECT l_orderkey, l_suppkey, arg_min(l_quantity, (l_linenumber, l_quantity)) AS q FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
 def q_unique_sum(spark, d):
-    return grouped.unique_sum(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_quantity", ["l_linenumber"])
+    return grouped.unique_sum(table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey", "l_quantity", ["l_linenumber", "l_quantity"])
 
 
 @query("""SELECT o_custkey, o_orderkey, CAST(position AS INTEGER) AS position FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders) WHERE position <= 3""")
@@ -141,7 +141,7 @@ def _order_lists(spark, d) -> DataFrame:
 
 
 @query("""SELECT l_orderkey, round(sum(l_quantity), 2) AS total, count(*) AS n, max(l_quantity) AS top, round(avg(l_quantity), 6) AS mean, coalesce(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 0) AS r_sum, CAST(sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) AS BIGINT) AS big,
- arg_min(l_suppkey, l_linenumber) AS first_supp, count(DISTINCT l_returnflag) AS flags, round(sum(CASE WHEN l_quantity > 5 THEN l_quantity * l_extendedprice ELSE 0 END), 2) AS weighted, coalesce(arg_min(CASE WHEN l_linenumber = 2 THEN l_quantity END, l_linenumber), -1) AS second FROM lineitem GROUP BY l_orderkey""")
+ arg_min(l_suppkey, (l_linenumber, l_suppkey)) AS first_supp, count(DISTINCT l_returnflag) AS flags, round(sum(CASE WHEN l_quantity > 5 THEN l_quantity * l_extendedprice ELSE 0 END), 2) AS weighted, coalesce(arg_min(l_quantity, (l_suppkey, l_returnflag, l_quantity)) FILTER (WHERE l_linenumber = 2), -1) AS second FROM lineitem GROUP BY l_orderkey""")
 def q_array_functions(spark, d):
     f = {
         "total": "round(sum(items.*.l_quantity), 2)", "n": "count(map_key(items, 'l_linenumber'))", "top": "max(map_key(items, 'l_quantity'))", "mean": "round(average(map_key(items, 'l_quantity')), 6)",
@@ -261,7 +261,7 @@ def q_reuse_latest(spark, d):
     return Resolver(_catalog(spark, d), "c_custkey", parent="l_orderkey").resolve(table(spark, d, "customer"), bs).select("c_custkey", "total", "mean")
 
 
-@query("""SELECT o_orderkey, arg_min(CASE WHEN l_linenumber = 2 THEN l_suppkey END, l_linenumber) AS supp FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+@query("""SELECT o_orderkey, arg_min(l_suppkey, (l_partkey, l_suppkey)) FILTER (WHERE l_linenumber = 2) AS supp FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def q_child_lookup(spark, d):
     b = Binding("supp", "child_table_lookup", {"child_table_field": "items", "key_field": "l_linenumber", "key_value": 2, "value_field": "l_suppkey"})
     return Resolver(_catalog(spark, d), "o_orderkey", {"items": table(spark, d, "lineitem")}, "l_orderkey").resolve(table(spark, d, "orders"), [b]).select("o_orderkey", "supp")
@@ -380,16 +380,16 @@ def q_memory_fold(spark, d):
 
 def _tree(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("b"))
-    return p, p.select(F.floor(F.col("id") / 2).cast("long").alias("id"), F.col("id").alias("dep_id"), F.lit(0.5).alias("coeff"))
+    return p, p.select(F.floor(F.col("id") / 2).cast("long").alias("id"), F.col("id").alias("dep_id"), F.lit(0.5).alias("coeff")).filter("id <> dep_id")
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey AS leaf, 0 AS h FROM part UNION ALL SELECT id // 2, leaf, h + 1 FROM t WHERE id // 2 IN (SELECT p_partkey FROM part)) SELECT id, CAST(max(h) AS INTEGER) AS level FROM t GROUP BY id""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey AS leaf, 0 AS h FROM part UNION ALL SELECT id // 2, leaf, h + 1 FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)) SELECT id, CAST(max(h) AS INTEGER) AS level FROM t GROUP BY id""")
 def q_topo_levels(spark, d):
     nodes, edges = _tree(spark, d)
     return graph.levels(nodes, edges).select("id", F.col("level").cast("int").alias("level"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_retailprice AS b, 1.0::DOUBLE AS w FROM part UNION ALL SELECT id // 2, b, w / 2 FROM t WHERE id // 2 IN (SELECT p_partkey FROM part)) SELECT id, round(sum(b * w), 4) AS x FROM t GROUP BY id""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_retailprice AS b, 1.0::DOUBLE AS w FROM part UNION ALL SELECT id // 2, b, w / 2 FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)) SELECT id, round(sum(b * w), 4) AS x FROM t GROUP BY id""")
 def q_solver_acyclic(spark, d):
     nodes, edges = _tree(spark, d)
     return graph.solve_linear(nodes, edges).select("id", F.round("x", 4).alias("x"))
@@ -462,20 +462,22 @@ def q_diff_inputs(spark, d):
 # --- documents
 
 
-@query("""WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN l_quantity * 2 WHEN 'A' THEN l_quantity * l_extendedprice / 100 ELSE 7 END AS amount FROM lineitem)
-SELECT o_orderkey, round(coalesce(sum(amount), 0), 4) AS subtotal, round(coalesce(sum(amount), 0) * 1.1::DOUBLE, 4) AS grand, count(amount) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+@query("""WITH l AS (SELECT l_orderkey, CASE l_returnflag WHEN 'R' THEN l_quantity * 2 WHEN 'A' THEN l_quantity * 3 + l_linenumber ELSE 7 END AS amount FROM lineitem)
+SELECT o_orderkey, round(coalesce(sum(amount), 0), 4) AS subtotal, round(coalesce(sum(amount), 0) * 1.5::DOUBLE, 4) AS grand, count(amount) AS n FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def q_document_two_stage(spark, d):
-    lines = table(spark, d, "lineitem").withColumn("f", F.when(F.col("l_returnflag") == "R", "l_quantity * 2").when(F.col("l_returnflag") == "A", "l_quantity * l_extendedprice / 100").otherwise("7"))
-    e = documents.DocumentEngine({"subtotal": "sum(items.*.amount)", "grand": "subtotal * 1.1", "n": "count(map_key(items, 'amount'))"}, (documents.ChildTable("items", "f", "amount"),), "o_orderkey", "l_orderkey")
+    lines = table(spark, d, "lineitem").withColumn("f", F.when(F.col("l_returnflag") == "R", "l_quantity * 2").when(F.col("l_returnflag") == "A", "l_quantity * 3 + l_linenumber").otherwise("7"))
+    e = documents.DocumentEngine({"subtotal": "sum(items.*.amount)", "grand": "subtotal * 1.5", "n": "count(map_key(items, 'amount'))"}, (documents.ChildTable("items", "f", "amount"),), "o_orderkey", "l_orderkey")
     headers, _ = e.apply(table(spark, d, "orders").select("o_orderkey"), {"items": lines})
     return headers.select("o_orderkey", F.round("subtotal", 4).alias("subtotal"), F.round("grand", 4).alias("grand"), "n")
 
 
-@query("""SELECT l_orderkey AS doc_id, 'items__' || l_linenumber || '__amount' AS name, l_quantity * 2 + CASE WHEN l_linenumber > 1 THEN coalesce(lag(l_quantity * 2) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), NULL) ELSE 0 END AS value FROM lineitem WHERE l_linenumber <= 2""")
+@query("""WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
+SELECT l_orderkey AS doc_id, 'items__' || n || '__amount' AS name, l_quantity * 2 + CASE WHEN n > 1 THEN lag(l_quantity * 2) OVER (PARTITION BY l_orderkey ORDER BY n) ELSE 0 END AS value FROM l WHERE n <= 2""")
 def q_document_cells(spark, d):
-    first = table(spark, d, "lineitem").filter("l_linenumber <= 2")
-    text = F.when(F.col("l_linenumber") == 1, F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2"))).otherwise(F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2 + items.1.amount")))
-    rows = documents.cells(first.withColumn("amount", text), "items", "l_linenumber", ["amount"], "l_orderkey")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    first = table(spark, d, "lineitem").withColumn("n", place).filter("n <= 2")
+    text = F.when(F.col("n") == 1, F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2"))).otherwise(F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2 + items.1.amount")))
+    rows = documents.cells(first.withColumn("amount", text).withColumn("n", F.col("n").cast("string")), "items", "n", ["amount"], "l_orderkey")
     scalars = first.select(F.col("l_orderkey").alias("doc_id")).distinct()
     return documents.evaluate_cells(rows, scalars, ["items"])
 

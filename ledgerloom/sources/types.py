@@ -375,8 +375,7 @@ def composite_key_lookup(r: Resolver, df: DataFrame, bs: list[Binding]) -> DataF
             grouped = right.groupBy(*[f"__d{k}_{n}" for k in compared]).agg(F.array_sort(F.collect_list(F.struct(F.col("__p.o").alias("o"), F.col("__p.v").alias("v"), *[F.col(f"__d{k}_{n}").alias(f"r{k}") for k in rest]))).alias(f"__rows_{n}"))
             on = [F.col(f"__q{k}") == F.col(f"__d{k}_{n}") for k in compared]
             df = df.join(r.catalog.sized(c["doctype"], grouped), on, "left")
-            wild = lambda x: x.isNull() | x.isin("", "ANY", "any")
-            fits = F.filter(F.col(f"__rows_{n}"), lambda e, rest=rest: _all_of([wild(e[f"r{k}"]) | F.coalesce(e[f"r{k}"] == F.col(f"__q{k}"), F.lit(False)) for k in rest]))
+            fits = F.filter(F.col(f"__rows_{n}"), _fitting(rest))
             value = F.get(fits, F.lit(0))["v"]
             if n:
                 for k in rest:
@@ -390,6 +389,11 @@ def composite_key_lookup(r: Resolver, df: DataFrame, bs: list[Binding]) -> DataF
     return df
 
 
+def _fitting(rest: list[int]):
+    wild = lambda x: x.isNull() | x.isin("", "ANY", "any")
+    return lambda e: _all_of([wild(e[f"r{k}"]) | F.coalesce(e[f"r{k}"] == F.col(f"__q{k}"), F.lit(False)) for k in rest])
+
+
 def _all_of(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
