@@ -245,14 +245,19 @@ def load(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(read_ranks(path), pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The columns `keep` of docs with n_tokens long and ids_le binary (ids as little-endian
     unsigned 32-bit integers). Null texts count as empty: 0 tokens, no bytes. Rows stay as they
-    are, repeated ones too; other columns of docs are not read."""
+    are, repeated ones too; other columns of docs are not read.
+
+    decoded=True adds decode()'s column in the same pass: one worker process a task instead of two
+    that both hold the vocabulary."""
     import pyarrow as pa
 
     taken = docs.select(*keep, docs[text_col].alias("__text"))
     out = T.StructType([*taken.schema.fields[:-1], T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_le", T.BinaryType(), False)])
+    if decoded:
+        out = out.add("decoded", T.BinaryType(), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = load(ranks_path, pattern)
@@ -261,6 +266,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "t
                 batch = whole.slice(start, BATCH_TEXTS)
                 packed = [coder.encode_packed(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
                 columns = [*batch.columns[:-1], pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())]
+                if decoded:
+                    columns.append(pa.array([coder.decode_packed(p) for p in packed], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
     return taken.mapInArrow(run, out)

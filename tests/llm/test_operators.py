@@ -109,6 +109,8 @@ def test_bpe_equals_library_and_round_trips(spark, docs):
         text = r["text"] or ""
         assert np.frombuffer(bytes(r["ids_le"]), "<u4").tolist() == library.encode_ordinary(text), text[:50]
         assert bytes(r["decoded"]) == text.encode() and r["n_tokens"] * 4 == len(r["ids_le"])
+    at_once = bpe.encode(docs, PATH, PATTERN, keep=("doc_id", "text"), decoded=True)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, rows))
 
 
 def test_merger_handles_ranks_out_of_training_order():
