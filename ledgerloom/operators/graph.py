@@ -210,6 +210,8 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     directly, cycles by elimination with partial pivoting; a singular system by Gauss-Seidel, or b
     if that diverges. clamp: no x is below 0. A component is solved by one task.
     """
+    if small := _small_system(nodes, edges, b, coeff):
+        return _solve_small(nodes, *small, _cycle_solver(clamp, epsilon, iterations, tolerance), clamp)
     comp = _staged(scc(nodes, edges))
     base = nodes.select("id", F.col(b).cast("double").alias("b"))
     known = comp.withColumnRenamed("id", "dep_id").withColumnRenamed("scc", "dep_scc")
@@ -237,6 +239,43 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     return solved if solved is not None else base.select("id", F.col("b").alias("x"), F.lit("direct").alias("method"), F.col("id").alias("scc"), F.lit(None).cast("string").alias("warning"))
 
 
+def _small_system(nodes: DataFrame, edges: DataFrame, b: str, coeff: str) -> tuple[dict, dict] | None:
+    """b of each node and the coefficients of its dependencies, if a count shows that both are few."""
+    if nodes.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES or edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
+        return None
+    base = {r["id"]: r["b"] for r in nodes.select("id", F.col(b).cast("double").alias("b")).collect()}
+    weights: dict = {n: {} for n in base}
+    for r in edges.select("id", "dep_id", F.col(coeff).cast("double").alias("c")).collect():
+        if r["id"] in base and r["dep_id"] in base:
+            weights[r["id"]][r["dep_id"]] = weights[r["id"]].get(r["dep_id"], 0.0) + r["c"]
+    return base, weights
+
+
+def _solve_small(nodes: DataFrame, base: dict, weights: dict, solve_cycle, clamp: bool) -> DataFrame:
+    import pandas as pd
+
+    named = dict(_small_scc({n: [m for m in ds if m != n] for n, ds in weights.items()}))
+    members: dict = {}
+    for n, c in named.items():
+        members.setdefault(c, []).append(n)
+    condensed = {c: list({named[m] for n in ns for m in weights[n] if named[m] != c}) for c, ns in members.items()}
+    x: dict = {}
+    rows = []
+    for c, _ in sorted(_small_levels(condensed), key=lambda t: t[1]):
+        group = sorted(members[c])
+        eff = {n: base[n] + sum(w * x[m] for m, w in weights[n].items() if named[m] != c) for n in group}
+        inside = {n: [{"dep_id": m, "coeff": w} for m, w in weights[n].items() if named[m] == c] for n in group}
+        if not any(inside.values()):
+            solved = [(n, max(0.0, eff[n]) if clamp else eff[n], "direct", c, None) for n in group]
+        else:
+            made = solve_cycle(pd.DataFrame({"id": group, "scc": c, "eff": [eff[n] for n in group], "inside": [inside[n] for n in group]}))
+            solved = [(r.id, float(r.x), r.method, c, r.warning) for r in made.itertuples()]
+        x |= {s[0]: s[1] for s in solved}
+        rows += solved
+    kind = dict(nodes.dtypes)["id"]
+    return nodes.sparkSession.createDataFrame(rows, f"id {kind}, x double, method string, scc {kind}, warning string")
+
+
 def _cycle_solver(clamp: bool, epsilon: float, iterations: int, tolerance: float):
     def solve(pdf):
         import numpy as np
