@@ -380,7 +380,7 @@ def q_memory_fold(spark, d):
 
 def _tree(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("b"))
-    return p, p.select(F.floor(F.col("id") / 2).cast("long").alias("id"), F.col("id").alias("dep_id"), F.lit(0.5).alias("coeff")).filter("id <> dep_id")
+    return p, p.select(F.floor(F.col("id") / 2).cast("long").alias("id"), F.col("id").alias("dep_id"), F.lit(0.3).alias("coeff")).filter("id <> dep_id")
 
 
 @query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_partkey AS leaf, 0 AS h FROM part UNION ALL SELECT id // 2, leaf, h + 1 FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)) SELECT id, CAST(max(h) AS INTEGER) AS level FROM t GROUP BY id""")
@@ -389,7 +389,7 @@ def q_topo_levels(spark, d):
     return graph.levels(nodes, edges).select("id", F.col("level").cast("int").alias("level"))
 
 
-@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_retailprice AS b, 1.0::DOUBLE AS w FROM part UNION ALL SELECT id // 2, b, w / 2 FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)) SELECT id, round(sum(b * w), 4) AS x FROM t GROUP BY id""")
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, p_retailprice AS b, 1.0::DOUBLE AS w FROM part UNION ALL SELECT id // 2, b, w * 0.3::DOUBLE FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)) SELECT id, round(sum(b * w), 4) AS x FROM t GROUP BY id""")
 def q_solver_acyclic(spark, d):
     nodes, edges = _tree(spark, d)
     return graph.solve_linear(nodes, edges).select("id", F.round("x", 4).alias("x"))
