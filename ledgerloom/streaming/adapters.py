@@ -17,21 +17,27 @@ def apply_stream(engine: FormulaEngine, stream: DataFrame, **options) -> DataFra
     return engine.apply(stream, **options)
 
 
-def bucket_totals(stream: DataFrame, time: str, value: str, kind: str, *, lateness: str = "1 day", by: list[str] | None = None) -> DataFrame:
-    """Sum and count for each calendar bucket; days up to `lateness` late are still counted. The
-    bucket's first day is part of the key, so its state is dropped after the watermark has passed."""
+def bucket_totals(stream: DataFrame, time: str, value: str, kind: str, *, by: list[str] | None = None) -> DataFrame:
+    """Sum and count for each calendar bucket, late rows included, for output mode update or
+    complete. State is a row for each bucket and `by` value, a few a year."""
     day = F.col(time).cast("date")
     start = bounds(kind, index_of(day, kind), F.year(day))[0]
+    return stream.groupBy(*(by or []), start.alias("bucket_start")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def daily_totals(stream: DataFrame, time: str, value: str, *, lateness: str = "1 day", by: list[str] | None = None) -> DataFrame:
+    """Sum and count for each day, for output mode append: a day is written once, when the watermark
+    has passed it, and its state is dropped; rows over `lateness` late are left out."""
     late = stream.withWatermark(time, lateness)
-    return late.groupBy(F.window(time, "1 day"), *(by or []), start.alias("bucket_start")).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
+    return late.groupBy(F.window(time, "1 day"), *(by or [])).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-def incremental_sink(engine: FormulaEngine, key: str, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the newest row of each key of a batch, with its formulas, under a folder of
-    the batch's own, so a repeated batch overwrites itself."""
+def incremental_sink(engine: FormulaEngine, key: str, order: str, path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the row of each key that is greatest by `order`, with its formulas, under a
+    folder of the batch's own, so a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        newest = batch.dropDuplicates([key])
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("__r")).select("__r.*")
         engine.apply(newest).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write

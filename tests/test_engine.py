@@ -212,7 +212,7 @@ def test_number_words(shown, options, want):
 
 
 def test_streaming(spark, tmp_path):
-    from ledgerloom.streaming.adapters import apply_stream, running_balance
+    from ledgerloom.streaming.adapters import apply_stream, bucket_totals, daily_totals, incremental_sink, running_balance
 
     src = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, k), float(k)) for k in range(4)], "u long, ts timestamp, v double")
     src.write.parquet(str(tmp_path / "in"))
@@ -221,6 +221,14 @@ def test_streaming(spark, tmp_path):
         q = frame.writeStream.format("memory").queryName(name).outputMode("append").start()
         q.processAllAvailable()
         q.stop()
+    months = bucket_totals(stream, "ts", "v", "month").writeStream.format("memory").queryName("months").outputMode("complete").start()
+    sink = stream.writeStream.foreachBatch(incremental_sink(FormulaEngine({"w": "v * 2"}), "u", "ts", str(tmp_path / "sink"))).start()
+    days = daily_totals(stream, "ts", "v").writeStream.format("memory").queryName("days").outputMode("append").start()
+    for q in (months, sink, days):
+        q.processAllAvailable()
+        q.stop()
+    assert [(str(r["bucket_start"]), r["total"]) for r in spark.table("months").collect()] == [("2024-01-01", 6.0)]
+    assert [r["w"] for r in spark.read.parquet(str(tmp_path / "sink")).collect()] == [6.0]
     assert spark.sql("SELECT sum(w) s FROM doubled").first()["s"] == 12.0 and spark.sql("SELECT max(balance) b FROM balance").first()["b"] == 6.0
 
 
