@@ -1,4 +1,5 @@
-"""Errors with codes, and did-you-mean hints."""
+"""Errors with codes, and did-you-mean hints. Codes are fixed values; those of limits, budgets,
+bindings, snapshots and configurations are this package's own."""
 
 from __future__ import annotations
 
@@ -6,7 +7,7 @@ import difflib
 
 
 class FormulaError(Exception):
-    code = "FORMULA_ERROR"
+    code = "ENGINE.UNKNOWN"
 
     def __init__(self, message: str, **details):
         super().__init__(message)
@@ -14,55 +15,55 @@ class FormulaError(Exception):
 
 
 class FormulaSyntaxError(FormulaError):
-    code = "SYNTAX_ERROR"
+    code = "ENGINE.SYNTAX_ERROR"
 
 
 class SecurityError(FormulaError):
-    code = "FORBIDDEN_SYNTAX"
+    code = "ENGINE.SECURITY_VIOLATION"
 
 
 class UnknownFunctionError(FormulaError):
-    code = "UNKNOWN_FUNCTION"
+    code = "ENGINE.UNKNOWN_FUNCTION"
 
 
 class UnknownVariableError(FormulaError):
-    code = "UNKNOWN_VARIABLE"
+    code = "ENGINE.MISSING_REQUIRED_INPUT"
 
 
 class ArgumentError(FormulaError):
-    code = "BAD_ARGUMENTS"
+    code = "ENGINE.INVALID_ARGUMENT_COUNT"
 
 
 class TypeMismatchError(FormulaError):
-    code = "TYPE_MISMATCH"
+    code = "ENGINE.TYPE_MISMATCH"
 
 
 class CircularReferenceError(FormulaError):
-    code = "CIRCULAR_REFERENCE"
+    code = "ENGINE.CIRCULAR_DEPENDENCY"
 
 
 class LimitError(FormulaError):
-    code = "LIMIT_EXCEEDED"
+    code = "ENGINE.LIMIT_EXCEEDED"
 
 
 class BudgetError(LimitError):
-    code = "OPERATION_BUDGET"
+    code = "ENGINE.OPERATION_BUDGET"
 
 
 class BindingError(FormulaError):
-    code = "BAD_BINDING"
+    code = "ENGINE.BAD_BINDING"
 
 
 class StaleContextError(FormulaError):
-    code = "STALE_CONTEXT"
+    code = "ENGINE.STALE_CONTEXT"
 
 
 class SnapshotError(FormulaError):
-    code = "SNAPSHOT_ERROR"
+    code = "ENGINE.SNAPSHOT_ERROR"
 
 
 class ConfigError(FormulaError):
-    code = "BAD_CONFIG"
+    code = "ENGINE.BAD_CONFIG"
 
 
 def did_you_mean(name: str, known) -> str:

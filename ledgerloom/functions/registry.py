@@ -51,6 +51,6 @@ def spellings(registry: dict[str, Function]) -> dict[str, str]:
 
 def load() -> dict[str, Function]:
     """The built-in functions."""
-    from ledgerloom.functions import aggregates, dates, logic, lookup, math, text, time  # noqa: F401
+    from ledgerloom.functions import aggregates, dates, graphs, logic, lookup, math, text, time  # noqa: F401
 
     return REGISTRY

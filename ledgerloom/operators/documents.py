@@ -81,6 +81,12 @@ class DocumentEngine:
     def apply(self, headers: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
         """(headers with formulas, child tables with values). First the rows, over their own and the
         header's columns; then the lists of each document; then the header formulas."""
+        wide, out = self._lists(headers, children)
+        done = self._engine(self.header).apply(wide)
+        return done.drop(*[t.name for t in self.tables]), out
+
+    def _lists(self, headers: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """(headers with each child table as a list, child tables with values)."""
         out: dict[str, DataFrame] = {}
         wide = headers
         for t in self.tables:
@@ -100,8 +106,50 @@ class DocumentEngine:
             order = [F.col(c) for c in t.order] or [F.struct(*[c for c, k in rows.dtypes if not k.startswith("map")])]
             listed = rows.groupBy(F.col(self.parent).alias("__p")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)], F.struct(*rows.columns).alias("r")))), lambda e: e["r"]).alias(t.name))
             wide = wide.join(listed, wide[self.key] == F.col("__p"), "left").drop("__p")
-        done = self._engine(self.header).apply(wide)
-        return done.drop(*[t.name for t in self.tables]), out
+        return wide, out
+
+    # --- tooling
+
+    def validate(self, children: Mapping[str, DataFrame] | None = None) -> dict[str, parser.ValidationResult]:
+        """Checks of the header formulas, and of the formula texts that child tables hold."""
+        engine = self._engine({})
+        found = {f["name"]: engine.validate(str(f["formula"])) for f in self._listed()}
+        for t in self.tables:
+            if children and t.name in children:
+                for column in ([t.formula] if t.formula else []) + list(t.fields):
+                    found |= {f"{t.name}.{column}: {text}": engine.validate(text) for text in self.templates(children[t.name], column)}
+        return found
+
+    def dependency_graph(self) -> dict[str, list[str]]:
+        """Header formula to the header formulas and child tables that it reads."""
+        engine = self._engine(self.header)
+        known = engine.texts.keys() | {t.name for t in self.tables}
+        return {n: sorted(engine.reads[n] & known) for n in engine.topo_order}
+
+    def preview(self, children: Mapping[str, DataFrame]) -> dict[str, list[str]]:
+        """Formula column of a child table to the templates that it resolves to."""
+        return {f"{t.name}.{c}": self.templates(children[t.name], c) for t in self.tables for c in ([t.formula] if t.formula else []) + list(t.fields)}
+
+    def explain(self, headers: DataFrame, children: Mapping[str, DataFrame], name: str) -> DataFrame:
+        """How a header formula came about in each document, as FormulaEngine.explain."""
+        wide, _ = self._lists(headers, children)
+        return self._engine(self.header).explain(wide, name, self.key)
+
+    def scenarios(self, headers: DataFrame, children: Mapping[str, DataFrame], overrides: Mapping[str, Mapping[str, object]]) -> DataFrame:
+        """The headers once for each scenario, with header inputs replaced for the rows' formulas too:
+        documents are repeated with a key of their own, so nothing is computed a scenario at a time."""
+        names = sorted({c for o in overrides.values() for c in o})
+        types = dict(headers.dtypes)
+        many = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario"), *[(F.lit(o[c]).cast(types[c]) if c in o else F.lit(None).cast(types[c])).alias(c) for c in names], *[F.lit(c in o).alias(f"has_{c}") for c in names]) for s, o in overrides.items()]))
+        of = lambda key: F.struct(F.col("__s.scenario").alias("scenario"), F.col(key).alias("key"))
+        wide = headers.withColumn("__s", many).withColumns({c: F.when(F.col(f"__s.has_{c}"), F.col(f"__s.{c}")).otherwise(F.col(c)) for c in names}).withColumn(self.key, of(self.key)).drop("__s")
+        labels = F.explode(F.array(*[F.struct(F.lit(s).alias("scenario")) for s in overrides]))
+        rows = {n: c.withColumn("__s", labels).withColumn(self.parent, of(self.parent)).drop("__s") for n, c in children.items()}
+        done, _ = self.apply(wide, rows)
+        return done.select(F.col(f"{self.key}.scenario").alias("scenario"), F.col(f"{self.key}.key").alias(self.key), *[c for c in done.columns if c != self.key])
+
+    def _listed(self) -> list[Mapping]:
+        return [{"name": k, "formula": v} for k, v in self.header.items()] if isinstance(self.header, Mapping) else list(self.header)
 
 
 def cells(rows: DataFrame, table: str, slug: str, fields: list[str], parent: str = "doc_id") -> DataFrame:

@@ -310,3 +310,21 @@ def _cycle_solver(clamp: bool, epsilon: float, iterations: int, tolerance: float
         return pd.DataFrame({"id": pdf["id"], "x": x, "method": method, "scc": pdf["scc"], "warning": warning})
 
     return solve
+
+
+def scc_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, scc, level, position): components in the order of the condensed graph, their members
+    together. Nodes of cycles have level -1, as in levels(), but stand where their component does;
+    ties are by component, then id."""
+    from pyspark.sql import Window
+
+    named = _staged(scc(nodes, edges))
+    other = named.select(F.col("id").alias("dep_id"), F.col("scc").alias("dep_scc"))
+    across = clean_edges(nodes, edges).join(named, "id").join(other, "dep_id").filter("scc <> dep_scc").select(F.col("scc").alias("id"), F.col("dep_scc").alias("dep_id"))
+    depth = levels(named.select(F.col("scc").alias("id")), across).select(F.col("id").alias("scc"), F.col("level").alias("__d"))
+    sizes = named.groupBy("scc").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = _staged(named.join(depth, "scc").join(sizes, "scc"))
+    before = ranked.groupBy("__d").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("__d").orderBy("scc", "id"))
+    placed = ranked.withColumn("__k", within).join(before.select("__d", "before"), "__d")
+    return placed.select("id", "scc", F.when(F.col("__n") > 1, F.lit(-1)).otherwise(F.col("__d")).alias("level"), (F.col("before") + F.col("__k")).alias("position"))

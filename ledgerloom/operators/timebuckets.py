@@ -165,3 +165,16 @@ def same_period_column(b: Column, years: int = 1, week_start: str = "monday") ->
         return n
 
     return _let(b, lambda x: offset_column(x, steps(x), week_start))
+
+
+#: The shapes in which a flat list of buckets is asked for, new name to bucket field.
+SHAPES = {
+    "ui": {"value": "name", "label": "short_label", "short_label": "short_label", "full_label": "full_label", "from_date": "from_date", "to_date": "to_date"},
+    "filter": {"period": "name", "from_date": "from_date", "to_date": "to_date"},
+    "entry": {"period": "name", "period_label": "short_label", "period_full": "full_label", "from_date": "from_date", "to_date": "to_date", "year": "year", "index": "index"},
+}
+
+
+def shaped(buckets: DataFrame, shape: str) -> DataFrame:
+    """A calendar() in one of SHAPES."""
+    return buckets.select(*[F.col(c).alias(n) for n, c in SHAPES[shape].items()])

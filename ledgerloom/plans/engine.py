@@ -405,7 +405,7 @@ class FormulaEngine:
         calm = FormulaEngine(self.formulas, **(self._options() | {"on_error": "null" if self.on_error == "raise" else self.on_error, "zero_division_policy": "warn"}))
         out = calm.apply(df, errors_col="__e", warnings_col="__w")
         bad = F.array_union("__e", "__w")
-        return out.withColumns({"_ok": F.size(bad) == 0, "_error": F.when(F.size(bad) > 0, F.array_join(bad, ",")), "_error_type": F.when(F.size("__w") > 0, "zero_division").when(F.size("__e") > 0, "evaluation_error")}).drop("__e", "__w")
+        return out.withColumns({"_ok": F.size(bad) == 0, "_error": F.when(F.size(bad) > 0, F.array_join(bad, ",")), "_error_type": F.when(F.size("__w") > 0, "zero_division").when(F.size("__e") > 0, "runtime_error")}).drop("__e", "__w")
 
     def audit(self, df: DataFrame, key: str, rate: float = 0.001) -> DataFrame:
         """A repeatable sample of rows (by a hash of the key) with their full trace."""

@@ -13,6 +13,7 @@ from ledgerloom.plans import grouped, memory
 from ledgerloom.plans.engine import Assertion, FormulaEngine, InputField, diff_inputs
 from ledgerloom.sources.bindings import Binding, Resolver
 from ledgerloom.sources.catalog import Catalog
+from ledgerloom.sources.variables import GlobalVariable, with_formula_sets, with_globals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -485,3 +486,148 @@ def q_document_cells(spark, d):
 @query()
 def q_number_to_words(spark, d):
     return run(table(spark, d, "part"), ["p_partkey"], {"words": "number_to_words(p_size)"})
+
+
+# --- variables and sources beyond one table
+
+
+@query("""SELECT o_orderkey, o_totalprice * 0.08::DOUBLE AS tax, o_totalprice * 0.08::DOUBLE + 20 + n AS due FROM orders, (SELECT count(*) FILTER (WHERE r_regionkey <= 2) AS n FROM region)""")
+def q_global_variables(spark, d):
+    vs = [
+        GlobalVariable("vat", value="0.08", data_type="Float"), GlobalVariable("fee", "FORMULA", formula="250 * vat"), GlobalVariable("wanted", value="ASIA"), GlobalVariable("off", value="1", is_active=False),
+        GlobalVariable("asia", "DB_QUERY", table="region", column="r_regionkey", filters={"r_name": "$wanted"}, data_type="Int"), GlobalVariable("hidden", "DB_QUERY", table="part", column="p_size"),
+    ]
+    o = with_globals(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), vs, _catalog(spark, d), {"region"})
+    return run(o, ["o_orderkey"], {"tax": "o_totalprice * vat", "due": "tax + fee + asia + 1 + IF(hidden == None, 0, 100)"})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) * 2 + l_extendedprice * (1 - l_discount) * l_tax AS total FROM lineitem")
+def q_formula_set_reference(spark, d):
+    sets = {"price": {"net": "l_extendedprice * (1 - l_discount)", "twice": "net * 2"}, "duty": {"due": "price.net * l_tax"}}
+    f = {"total": "price.twice + duty.due"}
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax")
+    return run(with_formula_sets(lines, f, sets, zero_division_policy="allow"), ["l_orderkey", "l_linenumber"], f)
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) ELSE NULL END AS found FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def q_dynamic_link(spark, d):
+    c = table(spark, d, "customer").withColumn("kind", F.when(F.col("c_custkey") % 2 == 0, "nation").otherwise("customer"))
+    b = Binding("found", "dynamic_link", {"doctype_field": "kind", "name_field": "c_nationkey", "target_field": "n_regionkey"})
+    return Resolver(_catalog(spark, d), "c_custkey").resolve(c, [b]).select("c_custkey", "found")
+
+
+@query("SELECT s_suppkey, 3 AS level, 'VND' AS currency, 'en' AS lang, s_acctbal + s_nationkey AS mixed FROM supplier")
+def q_settings_and_functions(spark, d):
+    cat = Catalog(spark, {}, settings={"currency": "VND"}, session={"lang": "en"}, functions={"shop.mix": lambda a, b: a + b})
+    bs = [
+        Binding("level", "constant", {"value": "3"}, "Int"), Binding("currency", "global_default", {"key": "currency"}), Binding("lang", "session_variable", {"key": "lang"}),
+        Binding("mixed", "custom_function", {"module": "shop", "function": "mix", "args": {"a": "doc.s_acctbal", "b": "doc.s_nationkey"}}),
+    ]
+    out = Resolver(cat, "s_suppkey").resolve(table(spark, d, "supplier"), bs)
+    return out.select("s_suppkey", F.col("level").cast("int").alias("level"), "currency", "lang", "mixed")
+
+
+@query("""SELECT o_orderkey, CAST(count(*) FILTER (WHERE lower(l_shipmode) LIKE '%ai%') AS BIGINT) AS n_like, CAST(count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) AS BIGINT) AS n_out, CAST(count(*) FILTER (WHERE l_linestatus <> 'F' AND l_linenumber < 3) AS BIGINT) AS n_ne
+FROM orders LEFT JOIN (SELECT *, l_comment_mode AS l_shipmode FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'RAIL' WHEN 1 THEN 'Air' ELSE 'ship' END AS l_comment_mode FROM lineitem)) ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def q_filter_operators(spark, d):
+    base = {"rows_source": "child_table", "child_table_field": "items", "value_field": "l_quantity", "aggregate": "count"}
+    filters = {"n_like": [["mode", "like", "AI"]], "n_out": [["l_returnflag", "not in", ["A", "N"]]], "n_ne": [["l_linestatus", "<>", "F"], ["l_linenumber", "<", 3]]}
+    mode = F.when(F.col("l_linenumber") % 3 == 0, "RAIL").when(F.col("l_linenumber") % 3 == 1, "Air").otherwise("ship")
+    items = table(spark, d, "lineitem").withColumn("mode", mode)
+    r = Resolver(_catalog(spark, d), "o_orderkey", {"items": items}, "l_orderkey")
+    return r.resolve(table(spark, d, "orders"), [Binding(n, "aggregate_from_items", base | {"filters": f}) for n, f in filters.items()]).select("o_orderkey", *filters)
+
+
+# --- order of dependencies, cycles
+
+
+@query("""WITH RECURSIVE t AS (SELECT p_partkey AS id, 0 AS h FROM part UNION ALL SELECT id // 2, h + 1 FROM t WHERE id > 0 AND id // 2 IN (SELECT p_partkey FROM part)), l AS (SELECT id, CAST(max(h) AS INTEGER) AS level FROM t GROUP BY id)
+SELECT id, level, row_number() OVER (ORDER BY level, id) AS position FROM l""")
+def q_topo_order(spark, d):
+    nodes, edges = _tree(spark, d)
+    return graph.topo_order(nodes, edges).select("id", F.col("level").cast("int").alias("level"), F.col("position").cast("long").alias("position"))
+
+
+def _rings(spark, d):
+    """Rings of five nations, each ring needing the next one."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"))
+    ring = n.select("id", F.when(F.col("id") % 5 == 4, F.col("id") - 4).otherwise(F.col("id") + 1).alias("dep_id"))
+    return n, ring.unionByName(n.filter("id % 5 = 0").select("id", (F.col("id") + 5).alias("dep_id")))
+
+
+@query("SELECT n_nationkey AS id, CAST(n_nationkey - n_nationkey % 5 AS INTEGER) AS scc, -1 AS level, row_number() OVER (ORDER BY -(n_nationkey - n_nationkey % 5), n_nationkey) AS position FROM nation")
+def q_scc_order(spark, d):
+    out = graph.scc_order(*_rings(spark, d))
+    return out.select("id", "scc", F.col("level").cast("int").alias("level"), F.col("position").cast("long").alias("position"))
+
+
+@query("SELECT CAST(n_nationkey - n_nationkey % 5 AS INTEGER) AS scc, count(*) AS n, false AS is_self_loop FROM nation GROUP BY ALL UNION ALL SELECT CAST(7 AS INTEGER), 1, true")
+def q_scc_check(spark, d):
+    n, edges = _rings(spark, d)
+    loop = n.filter("id = 7").select("id", F.col("id").alias("dep_id"))
+    return graph.scc_check(n, edges.unionByName(loop)).select("scc", F.size("members").cast("long").alias("n"), "is_self_loop")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_retailprice AS b, p_partkey // 2 AS pair, count(*) OVER (PARTITION BY p_partkey // 2) AS n FROM part)
+SELECT a.id, round(CASE WHEN a.n = 1 THEN a.b WHEN a.id % 2 = 0 THEN (a.b + 0.5::DOUBLE * o.b) / 0.875::DOUBLE ELSE (a.b + 0.25::DOUBLE * o.b) / 0.875::DOUBLE END, 4) AS x, CASE WHEN a.n = 1 THEN 'direct' ELSE 'gaussian' END AS method
+FROM p a LEFT JOIN p o ON o.pair = a.pair AND o.id <> a.id""")
+def q_solver_cycles(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("b"))
+    edges = p.select("id", F.when(F.col("id") % 2 == 0, F.col("id") + 1).otherwise(F.col("id") - 1).alias("dep_id"), F.when(F.col("id") % 2 == 0, 0.5).otherwise(0.25).cast("double").alias("coeff"))
+    return graph.solve_linear(p, edges).select("id", F.round("x", 4).alias("x"), "method")
+
+
+@query("SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber DESC) AS lines, list(l_linenumber ORDER BY l_linenumber DESC) AS grouped FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey")
+def q_topo_sort_list(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    rows = rows.withColumn("next", F.lead("l_linenumber").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")))
+    record = F.struct("l_linenumber", F.array("next").alias("needs"), F.to_json(F.array(F.struct(F.col("next").alias("ref")))).alias("refs"))
+    lists = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(record)).alias("items"))
+    return run(lists, ["l_orderkey"], {"lines": "map_key(topo_sort_flat(items, 'l_linenumber', 'needs'), 'l_linenumber')", "grouped": "map_key(scc_topo_sort_data(items, 'l_linenumber', 'refs', 'ref'), 'l_linenumber')"})
+
+
+# --- calendar functions, tables of formulas
+
+
+@query("""SELECT 'M' || m AS period, make_date(y, m, 1) AS from_date, CAST(make_date(y, m, 1) + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE) AS to_date, 'M' || m AS period_label, 'Month ' || m || ' ' || y AS period_full, CAST(y AS INTEGER) AS year, CAST(m AS INTEGER) AS index
+FROM (SELECT unnest(range(1, 13)) AS m), (SELECT unnest(range(1992, 1999)) AS y)""")
+def q_calendar_entries(spark, d):
+    return timebuckets.shaped(timebuckets.calendar(spark, range(1992, 1999), ("month",)), "entry")
+
+
+@query("""SELECT o_orderkey, year(o_orderdate) = 1995 AND month(o_orderdate) <= 3 AS in_q1, 'Q' || quarter(o_orderdate) AS label, CAST(year(o_orderdate) - 1 AS INTEGER) AS ly, CAST(CASE WHEN month(o_orderdate) = 1 THEN 12 ELSE month(o_orderdate) - 1 END AS INTEGER) AS pm FROM orders""")
+def q_period_functions(spark, d):
+    f = {
+        "in_q1": "in_time_bucket(day, get_period('quarter', 1, 1995))", "label": "get_bucket_label(day, 'quarter')", "ly": "same_period_last_year(get_period('month', m, y)).year", "pm": "period_offset(get_period('month', m, y), -1).index",
+    }
+    day = F.col("o_orderdate").cast("date")
+    return run(table(spark, d, "orders").select("o_orderkey", day.alias("day"), F.month(day).alias("m"), F.year(day).alias("y")), ["o_orderkey"], f)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity * 2 AS twice, CASE WHEN l_quantity = 25 THEN NULL ELSE 1 / (l_quantity - 25) END AS part, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS whole FROM lineitem")
+def q_calc_table(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    f = {"twice": "l_quantity * 2", "part": "1 / (l_quantity - 25)", "whole": "sum(items.*.l_quantity)"}
+    return documents.calc_table(lines, f, parent="l_orderkey", order=("l_linenumber",)).select("l_orderkey", "l_linenumber", *f)
+
+
+@query("""SELECT o_orderkey, s AS scenario, round(coalesce(sum(l_quantity * r), 0), 4) AS subtotal FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey CROSS JOIN (VALUES ('base', 1.0::DOUBLE), ('high', 1.5::DOUBLE)) t(s, r) GROUP BY ALL""")
+def q_document_scenarios(spark, d):
+    e = documents.DocumentEngine({"subtotal": "sum(items.*.amount)"}, (documents.ChildTable("items", "f", "amount", order=("l_linenumber",)),), "o_orderkey", "l_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").withColumn("f", F.lit("l_quantity * rate"))
+    o = table(spark, d, "orders").select("o_orderkey", F.lit(1.0).alias("rate"))
+    out = e.scenarios(o, {"items": lines}, {"base": {}, "high": {"rate": 1.5}})
+    return out.select("o_orderkey", "scenario", F.round("subtotal", 4).alias("subtotal"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity <> 25 AS ok, CASE WHEN l_quantity = 25 THEN 'zero_division' END AS kind FROM lineitem")
+def q_apply_safe(spark, d):
+    out = engine({"x": "100 / (l_quantity - 25)"}).apply_safe(table(spark, d, "lineitem"))
+    return out.select("l_orderkey", "l_linenumber", F.col("_ok").alias("ok"), F.col("_error_type").alias("kind"))
+
+
+@query("SELECT count(*) AS n, count(*) AS intact FROM orders")
+def q_snapshot_verify(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    made = snapshots.verify(snapshots.snapshot(engine({"tax": "o_totalprice * 0.5"}), o, "o_orderkey"))
+    return made.agg(F.count(F.lit(1)).alias("n"), F.count_if("intact").alias("intact"))

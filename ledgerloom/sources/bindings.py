@@ -22,6 +22,7 @@ from ledgerloom.expr.compiler import Compiler
 from ledgerloom.functions.registry import load, spellings
 from ledgerloom.plans.dag import Dag
 from ledgerloom.sources import filters as fl
+from ledgerloom.sources import schema as sc
 from ledgerloom.sources.catalog import Catalog
 from ledgerloom.sources.transform import cast_value, transform_value
 
@@ -60,17 +61,20 @@ class SourceType:
     required: tuple[str, ...] = ()
     fingerprint: Callable[[Mapping], tuple] | None = None
     casts: bool = False
+    schema: Mapping = field(default_factory=dict)
+    label: str = ""
 
 
 SOURCES: dict[str, SourceType] = {}
 
 
-def register_source(name: str, required: tuple[str, ...] = (), fingerprint=None, casts: bool = False):
+def register_source(name: str, required: tuple[str, ...] = (), fingerprint=None, casts: bool = False, schema: Mapping | None = None, label: str = ""):
     """Register resolve(resolver, df, bindings) -> df with a column for each binding. Bindings with
-    equal fingerprints are resolved together."""
+    equal fingerprints are resolved together. schema: what a configuration must look like (see
+    sources.schema)."""
 
     def keep(resolve):
-        SOURCES[name] = SourceType(name, resolve, required, fingerprint, casts)
+        SOURCES[name] = SourceType(name, resolve, required, fingerprint, casts, schema if schema is not None else sc.schema_of(name), label or name.replace("_", " "))
         return resolve
 
     return keep
@@ -83,7 +87,18 @@ def validate(binding: Binding) -> list[str]:
     found = [f"{binding.source_type}: {k} is required" for k in kind.required if binding.config.get(k) in (None, "", [])]
     if binding.source_type == "computed" and binding.variable in (binding.config.get("dependencies") or []):
         found.append("computed: depends on itself")
-    return found
+    return found + [f"{kind.name}: {p}" for p in sc.problems(binding.config, kind.schema) if not (p.endswith(": required") and p[7:-10] in kind.required)]
+
+
+def discover() -> list[str]:
+    """Load the source types that installed packages offer (entry points of `ledgerloom.sources`, each
+    a function without arguments that registers them); their names."""
+    from importlib.metadata import entry_points
+
+    before = set(SOURCES)
+    for point in entry_points(group="ledgerloom.sources"):
+        point.load()()
+    return sorted(set(SOURCES) - before)
 
 
 def in_scope(bindings: list[Binding], doctype: str | None = None, field_name: str | None = None) -> list[Binding]:
@@ -178,6 +193,16 @@ class Resolver:
             df = df.select(*[F.col(f"`{c}`") for c in before if c not in {b.variable for b in group}], *[self.finish(df, b) for b in group])
         return df
 
+    def try_binding(self, df: DataFrame, binding: Binding) -> dict:
+        """Check a binding, and its value for one row of df: ok, errors, value."""
+        if found := validate(binding):
+            return {"ok": False, "errors": found, "value": None}
+        try:
+            row = self.resolve(df.limit(1), [binding]).select(binding.variable).first()
+        except FormulaError as e:
+            return {"ok": False, "errors": [str(e)], "value": None}
+        return {"ok": True, "errors": [], "value": row[0] if row else None}
+
     def finish(self, df: DataFrame, b: Binding) -> Column:
         """Cast, default and transform of a resolved column."""
         c, t = F.col(f"`{b.variable}`"), df.schema[b.variable].dataType

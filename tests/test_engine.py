@@ -18,6 +18,8 @@ from ledgerloom.plans.engine import Assertion, FormulaEngine, Meta
 from ledgerloom.plans.memory import apply_with_memory
 from ledgerloom.sources.bindings import SOURCES, Binding, Resolver, circular, in_scope, validate
 from ledgerloom.sources.catalog import Catalog
+from ledgerloom.sources.schema import KEYS, problems
+from ledgerloom.sources.variables import GlobalVariable, global_values, with_formula_sets
 
 ROW = """10L qty, 100L rate, 0.1D vat, cast(null as long) nul, 'Hello World' s, date'2024-02-29' d, array(3L,1L,2L,null) arr, 0L z, 7L a, -3L b, 2.5D h, '2025-12-30' ds,
  array(named_struct('k','A','t','x','v',1L,'q',2.0D),named_struct('k','B','t','y','v',2L,'q',3.0D),named_struct('k','A','t','x','v',3L,'q',null)) items, map('x',1.0D,'y',2.0D) m"""
@@ -236,3 +238,63 @@ def test_entry_point():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) > 50 and entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_list_order(spark):
+    rows = "array(named_struct('id','a','needs',array('c','zz','a')),named_struct('id','b','needs',array('a')),named_struct('id','c','needs',array()),named_struct('id','a','needs',array('b')))"
+    ring = "array(named_struct('id','x','needs',array('y')),named_struct('id','y','needs',array('x')),named_struct('id','w','needs',array('x')),named_struct('id','v','needs',array()))"
+    df = spark.sql(f"SELECT {rows} AS r, {ring} AS g, filter({rows}, x -> false) AS none")
+    f = {k: f"map_key({t}, 'id')" for k, t in {"plain": "topo_sort_flat(r, 'id', 'needs')", "ring": "topo_sort_flat(g, 'id', 'needs')", "scc": "scc_topo_sort_flat(g, 'id', 'needs')", "none": "topo_sort_flat(none, 'id', 'needs')"}.items()}
+    out = FormulaEngine({f"o_{k}": t for k, t in f.items()}).apply(df).first()
+    assert out["o_plain"] == ["c", "a", "b"] and out["o_ring"] == ["v", "x", "y", "w"] and out["o_none"] == []
+    assert out["o_scc"] == ["v", "x", "y", "w"]
+
+
+def test_component_order(spark):
+    nodes = spark.createDataFrame([(k,) for k in range(1, 6)], "id int")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 1), (9, 1)], "id int, dep_id int")
+    got = {r["id"]: (r["scc"], r["level"], r["position"]) for r in graph.scc_order(nodes, edges).collect()}
+    assert got == {3: (3, 0, 1), 5: (5, 0, 2), 1: (1, -1, 3), 2: (1, -1, 4), 4: (4, 2, 5)}
+
+
+def test_global_variables(spark):
+    t = spark.createDataFrame([(1, "a", 5), (2, "b", 7), (3, "b", 9)], "n int, k string, v int")
+    cat = Catalog(spark, {"t": t}, order={"t": ("-n",)})
+    vs = [
+        GlobalVariable("c", value="2.5", data_type="Float"), GlobalVariable("f", "FORMULA", formula="c * 4"), GlobalVariable("bad", "FORMULA", formula="nope("), GlobalVariable("key", value="b"),
+        GlobalVariable("q", "DB_QUERY", table="t", column="v", filters={"k": "$key"}), GlobalVariable("denied", "DB_QUERY", table="u", column="v"), GlobalVariable("gone", value=1, is_active=False),
+    ]
+    assert global_values(vs, cat, {"t"}) == {"c": 2.5, "f": 10.0, "bad": None, "key": "b", "q": 9, "denied": None}
+    loop = [GlobalVariable("x", "DB_QUERY", table="t", column="v", filters={"k": "$y"}), GlobalVariable("y", "DB_QUERY", table="t", column="v", filters={"k": "$x"})]
+    with pytest.raises(CircularReferenceError):
+        global_values(loop, cat, {"t"})
+
+
+def test_formula_sets(spark):
+    df = spark.sql("SELECT 2 AS a")
+    sets = {"s": {"b": "a * 3", "a2": "b + 1"}, "t": {"x": "s.b + s.a2"}}
+    assert with_formula_sets(df, {"y": "t.x"}, sets).select("t.x").first()[0] == 13
+    with pytest.raises(CircularReferenceError):
+        with_formula_sets(df, {"y": "s.b"}, {"s": {"b": "t.x"}, "t": {"x": "s.b"}})
+
+
+def test_schemas(spark):
+    schema = {"type": "object", "required": ["f"], "required_unless": {"f": {"if": "agg", "equals": "count"}}, "properties": {"n": {"type": "integer", "minimum": 1, "maximum": 3}, "l": {"type": "array", "items": {"type": "string", "enum": ["x"]}}}}
+    assert problems({"agg": "count", "n": 2, "l": ["x"]}, schema) == []
+    assert len(problems({"n": 9, "l": ["x", "y", 1]}, schema)) == 4
+    assert set(KEYS) == set(SOURCES)
+    assert validate(Binding("x", "aggregate_from_items", {"rows_source": "nowhere"}))
+    r = Resolver(Catalog(spark, {}), "a")
+    assert r.try_binding(spark.sql("SELECT 1 AS a"), Binding("x", "computed", {"formula": "a + 1"})) == {"ok": True, "errors": [], "value": 2}
+    assert not r.try_binding(spark.sql("SELECT 1 AS a"), Binding("x", "computed", {"formula": "a +"}))["ok"]
+
+
+def test_document_tooling(spark):
+    e = documents.DocumentEngine({"total": "sum(items.*.amount)", "vat": "total * 0.1"}, (documents.ChildTable("items", "f", "amount"),))
+    headers = spark.sql("SELECT 1 AS doc_id, 2.0D AS rate")
+    items = spark.sql("SELECT 1 AS doc_id, 3 AS q, 'q * rate' AS f UNION ALL SELECT 1, 4, '5'")
+    assert e.dependency_graph() == {"total": ["items"], "vat": ["total"]} and e.preview({"items": items}) == {"items.f": ["q * rate"]}
+    assert all(v.valid for v in e.validate({"items": items}).values())
+    assert {r["name"]: r["value"] for r in e.explain(headers, {"items": items}, "vat").collect()} == {"total": "11.0", "vat": "1.1"}
+    got = {r["scenario"]: (r["doc_id"], r["total"]) for r in e.scenarios(headers, {"items": items}, {"base": {}, "more": {"rate": 10.0}}).collect()}
+    assert got == {"base": (1, 11.0), "more": (1, 35.0)}
