@@ -8,7 +8,7 @@ names. Header formulas read child tables as lists and see the values that the ro
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -158,6 +158,34 @@ def cells(rows: DataFrame, table: str, slug: str, fields: list[str], parent: str
     return rows.select(F.col(parent).alias("doc_id"), F.explode(pieces).alias("c")).select("doc_id", "c.*").filter(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
+@dataclass(frozen=True)
+class CellTable:
+    """rows: a child table. slug: the column that names a row. fields: columns of formula text."""
+
+    rows: DataFrame
+    slug: str
+    fields: tuple[str, ...]
+    parent: str = "doc_id"
+
+
+def build_cells(tables: Mapping[str, CellTable], *, normalize: Callable[[Column], Column] | None = None, synthetic: Mapping[str, str] | None = None) -> DataFrame:
+    """(doc_id, name, text) of several child tables, for evaluate_cells. normalize rewrites a text
+    column; synthetic adds a formula to every document. Two cells of a document with one name are an
+    error."""
+    parts = [cells(t.rows, name, t.slug, list(t.fields), t.parent) for name, t in tables.items()]
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    if normalize:
+        every = every.withColumn("text", normalize(F.col("text")))
+    if synthetic:
+        more = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("text")) for n, t in synthetic.items()]))
+        every = every.unionByName(every.select("doc_id").distinct().select("doc_id", more.alias("c")).select("doc_id", "c.*"))
+    if twice := every.groupBy("doc_id", "name").count().filter("count > 1").first():
+        raise FormulaError(f"document {twice['doc_id']} has two cells called {twice['name']!r}")
+    return every
+
+
 def scoped(text: str, tables: list[str]) -> str:
     """`table.slug.field` and `table[0].field` as the names that cells() gives."""
     names = "|".join(re.escape(t) for t in tables)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 10_000
@@ -83,9 +83,9 @@ def _small_scc(needs: dict) -> list[tuple]:
     return out
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Cut lineage through the folder in spark.checkpoint.dir (a temporary one where none is set)."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder name under spark.checkpoint.dir (a temporary folder where none is set, as in
+    tests), deleted when the session ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -93,11 +93,19 @@ def _staged(df: DataFrame) -> DataFrame:
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm)
-    return spark.read.schema(df.schema).parquet(path)
+    system = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(jvm)
+    system.deleteOnExit(jvm)
+    return path
+
+
+def _staged(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared folder."""
+    path = f"{shared_folder(df.sparkSession, 'graph')}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:

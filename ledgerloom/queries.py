@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,7 @@ from ledgerloom.plans.engine import Assertion, FormulaEngine, InputField, diff_i
 from ledgerloom.sources.bindings import Binding, Resolver
 from ledgerloom.sources.catalog import Catalog
 from ledgerloom.sources.variables import GlobalVariable, with_formula_sets, with_globals
+from ledgerloom.streaming import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -483,7 +485,9 @@ def q_document_cells(spark, d):
     return documents.evaluate_cells(rows, scalars, ["items"])
 
 
-@query()
+@query("""WITH d AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS n, p_size // 10 AS t, p_size % 10 AS u, ['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'] AS w FROM part),
+x AS (SELECT p_partkey, CASE WHEN n < 10 THEN w[n + 1] ELSE (CASE WHEN t = 1 THEN 'mười' ELSE w[t + 1] || ' mươi' END) || CASE WHEN u = 0 THEN '' WHEN u = 5 THEN ' lăm' WHEN u = 1 AND t > 1 THEN ' mốt' WHEN u = 4 AND t > 1 THEN ' tư' ELSE ' ' || w[u + 1] END END AS words FROM d)
+SELECT p_partkey, upper(words[1]) || words[2:] AS words FROM x""")
 def q_number_to_words(spark, d):
     return run(table(spark, d, "part"), ["p_partkey"], {"words": "number_to_words(p_size)"})
 
@@ -631,3 +635,29 @@ def q_snapshot_verify(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     made = snapshots.verify(snapshots.snapshot(engine({"tax": "o_totalprice * 0.5"}), o, "o_orderkey"))
     return made.agg(F.count(F.lit(1)).alias("n"), F.count_if("intact").alias("intact"))
+
+
+# --- streams
+
+
+def _stream(spark, d, name: str) -> DataFrame:
+    # a pattern, as a stream's plain path must be a folder and a table may be one file
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query("SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS bucket_start, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1")
+def q_stream_month_totals(spark, d):
+    """Everything there is, as a stream that ends; the sink holds a row a month."""
+    name = f"months_{uuid.uuid4().hex}"
+    totals = adapters.bucket_totals(_stream(spark, d, "orders"), "o_orderdate", "o_totalprice", "month")
+    totals.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).withColumn("total", F.round("total", 2))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+def q_stream_formulas(spark, d):
+    """A stream of rows through formulas into Parquet in the shared folder."""
+    folder = graph.shared_folder(spark, "stream")
+    out = adapters.apply_stream(engine({"net": "l_extendedprice * (1 - l_discount)"}), _stream(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", "net")
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/rows")

@@ -14,6 +14,7 @@ from ledgerloom.expr.normalize import clean, normalize
 from ledgerloom.functions.registry import load, spellings
 from ledgerloom.functions.words import spell
 from ledgerloom.operators import allocation, documents, graph, snapshots, timebuckets
+from ledgerloom.plans.audit import AuditSession, lineage
 from ledgerloom.plans.engine import Assertion, FormulaEngine, Meta
 from ledgerloom.plans.memory import apply_with_memory
 from ledgerloom.sources.bindings import SOURCES, Binding, Resolver, circular, in_scope, validate
@@ -298,3 +299,28 @@ def test_document_tooling(spark):
     assert {r["name"]: r["value"] for r in e.explain(headers, {"items": items}, "vat").collect()} == {"total": "11.0", "vat": "1.1"}
     got = {r["scenario"]: (r["doc_id"], r["total"]) for r in e.scenarios(headers, {"items": items}, {"base": {}, "more": {"rate": 10.0}}).collect()}
     assert got == {"base": (1, 11.0), "more": (1, 35.0)}
+
+
+def test_audit_session_and_lineage(spark):
+    e = FormulaEngine({"a": "x * 2", "b": "a + y"}, zero_division_policy="allow", meta=Meta("f", "2"))
+    session = AuditSession(e, rate=1.0)
+    df = spark.sql("SELECT 1 AS id, 2 AS x, 3 AS y UNION ALL SELECT 2, null, 1")
+    assert [r["b"] for r in session.run(df).orderBy("id").collect()] == [7, 1]
+    assert session.sample(df, "id").count() == 2
+    report = session.end()
+    assert (report["rows"], report["failed"], report["engine_uid"]) == (2, 1, "f@2")
+    with pytest.raises(FormulaError):
+        session.run(df)
+    tree = lineage(e, "b")
+    assert [n["name"] for n in tree["needs"]] == ["a", "y"] and tree["needs"][0]["needs"][0] == {"name": "x", "formula": None, "needs": []}
+
+
+def test_build_cells(spark):
+    a = spark.sql("SELECT 1 AS doc_id, 'K1' AS slug, '2' AS qty UNION ALL SELECT 1, 'K2', 'a.K1.qty * 3'")
+    b = spark.sql("SELECT 1 AS doc_id, 'P' AS slug, 'a.K2.qty + 1' AS amount")
+    tables = {"a": documents.CellTable(a, "slug", ("qty",)), "b": documents.CellTable(b, "slug", ("amount",))}
+    made = documents.build_cells(tables, synthetic={"total": "b.P.amount * 10"})
+    out = {r["name"]: r["value"] for r in documents.evaluate_cells(made, spark.sql("SELECT 1 AS doc_id"), ["a", "b"]).collect()}
+    assert out == {"a__K1__qty": 2.0, "a__K2__qty": 6.0, "b__P__amount": 7.0, "total": 70.0}
+    with pytest.raises(FormulaError, match="two cells"):
+        documents.build_cells({"a": documents.CellTable(a.unionByName(a), "slug", ("qty",))})
