@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,49 +199,57 @@ def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str],
     """(doc_id, name, value): every document's own graph of cells, which may read each other and the
     document's scalars (numeric columns of `scalars`).
 
-    Graphs differ by document, so a document's cells are brought together (groupBy.applyInPandas)
-    and evaluated by an interpreter of the checked syntax tree; Python's eval is never used. Cells
+    Graphs differ by document, so a document's cells are brought into one list and evaluated, a
+    batch of documents at a time, by an interpreter of the checked syntax tree; Python's eval is never used. Cells
     that fail, or lie on a cycle, have the default.
     """
     numeric = [c for c, t in scalars.dtypes if c != key and t in ("int", "bigint", "double", "float", "smallint")]
     packed = scalars.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in numeric])).alias("scalars"))
-    joined = cell_rows.join(packed, "doc_id", "left")
-    return joined.groupBy("doc_id").applyInPandas(_evaluator(tables, default), f"doc_id {dict(cell_rows.dtypes)['doc_id']}, name string, value double")
+    listed = cell_rows.groupBy("doc_id").agg(F.collect_list(F.struct("name", "text")).alias("cells"))
+    joined = listed.join(packed, "doc_id", "left").select("doc_id", "cells", "scalars")
+    evaluated = joined.select("doc_id", _evaluator(tables, default)("cells", "scalars").alias("v"))
+    return evaluated.select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.name", "v.value")
 
 
 def _evaluator(tables: list[str], default: float):
-    def run(pdf):
+    @F.pandas_udf("array<struct<name:string,value:double>>")
+    def run(cells: pd.Series, scalars: pd.Series) -> pd.Series:
         import json
 
-        import pandas as pd
+        return pd.Series([_document({c["name"]: c["text"] for c in found}, json.loads(s) if isinstance(s, str) else {}, tables, default) for found, s in zip(cells, scalars, strict=True)])
 
-        from ledgerloom.expr.interpret import evaluate
+    return run
 
-        env = {k: v for k, v in json.loads(pdf["scalars"].iloc[0] or "{}").items() if v is not None} if isinstance(pdf["scalars"].iloc[0], str) else {}
-        texts = dict(zip(pdf["name"], pdf["text"], strict=True))
-        trees, reads = {}, {}
-        for n, t in texts.items():
-            try:
-                trees[n] = parser.parse(scoped(t, tables))
-                reads[n] = parser.names(trees[n]) & texts.keys()
-            except FormulaError:
-                trees[n], reads[n] = None, set()
-        values: dict[str, float] = {}
-        waiting = set(texts)
-        while waiting:
-            ready = sorted(n for n in waiting if not reads[n] & waiting)
-            if not ready:
-                break
-            for n in ready:
-                try:
-                    values[n] = float(evaluate(trees[n], env | values)) if trees[n] is not None else default
-                except (FormulaError, ArithmeticError, TypeError, ValueError, KeyError):
-                    values[n] = default
-                waiting.discard(n)
-        values |= dict.fromkeys(waiting, default)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "name": list(values), "value": list(values.values())})
 
-    return run
+@lru_cache(maxsize=10_000)
+def _checked(text: str, tables: tuple[str, ...]):
+    """(tree, names that it reads) of a cell's text; (None, none) where it can't be parsed."""
+    try:
+        tree = parser.parse(scoped(text, list(tables)))
+        return tree, frozenset(parser.names(tree))
+    except FormulaError:
+        return None, frozenset()
+
+
+def _document(texts: dict[str, str], scalars: Mapping, tables: list[str], default: float) -> list[dict]:
+    """The values of one document's cells, in the order of their needs."""
+    from ledgerloom.expr.interpret import evaluate
+
+    env = {k: v for k, v in scalars.items() if v is not None}
+    trees = {n: _checked(t, tuple(tables)) for n, t in texts.items()}
+    reads = {n: names & texts.keys() for n, (_, names) in trees.items()}
+    values: dict[str, float] = {}
+    waiting = set(texts)
+    while ready := sorted(n for n in waiting if not reads[n] & waiting):
+        seen = env | values
+        for n in ready:
+            try:
+                values[n] = float(evaluate(trees[n][0], seen)) if trees[n][0] is not None else default
+            except (FormulaError, ArithmeticError, TypeError, ValueError, KeyError):
+                values[n] = default
+        waiting -= set(ready)
+    values |= dict.fromkeys(waiting, default)
+    return [{"name": n, "value": v} for n, v in values.items()]
 
 
 def calc_table(rows: DataFrame, columns: Mapping[str, str], *, parent: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:

@@ -219,7 +219,7 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     if that diverges. clamp: no x is below 0. A component is solved by one task.
     """
     if small := _small_system(nodes, edges, b, coeff):
-        return _solve_small(nodes, *small, _cycle_solver(clamp, epsilon, iterations, tolerance), clamp)
+        return _solve_small(nodes, *small, clamp, epsilon, iterations, tolerance)
     comp = _staged(scc(nodes, edges))
     base = nodes.select("id", F.col(b).cast("double").alias("b"))
     known = comp.withColumnRenamed("id", "dep_id").withColumnRenamed("scc", "dep_scc")
@@ -259,9 +259,7 @@ def _small_system(nodes: DataFrame, edges: DataFrame, b: str, coeff: str) -> tup
     return base, weights
 
 
-def _solve_small(nodes: DataFrame, base: dict, weights: dict, solve_cycle, clamp: bool) -> DataFrame:
-    import pandas as pd
-
+def _solve_small(nodes: DataFrame, base: dict, weights: dict, clamp: bool, *limits) -> DataFrame:
     named = dict(_small_scc({n: [m for m in ds if m != n] for n, ds in weights.items()}))
     members: dict = {}
     for n, c in named.items():
@@ -272,49 +270,55 @@ def _solve_small(nodes: DataFrame, base: dict, weights: dict, solve_cycle, clamp
     for c, _ in sorted(_small_levels(condensed), key=lambda t: t[1]):
         group = sorted(members[c])
         eff = {n: base[n] + sum(w * x[m] for m, w in weights[n].items() if named[m] != c) for n in group}
-        inside = {n: [{"dep_id": m, "coeff": w} for m, w in weights[n].items() if named[m] == c] for n in group}
+        inside = {n: [(m, w) for m, w in weights[n].items() if named[m] == c] for n in group}
         if not any(inside.values()):
             solved = [(n, max(0.0, eff[n]) if clamp else eff[n], "direct", c, None) for n in group]
         else:
-            made = solve_cycle(pd.DataFrame({"id": group, "scc": c, "eff": [eff[n] for n in group], "inside": [inside[n] for n in group]}))
-            solved = [(r.id, float(r.x), r.method, c, r.warning) for r in made.itertuples()]
+            found, method, warning = _solved_cycle(group, [eff[n] for n in group], [inside[n] for n in group], clamp, *limits)
+            solved = [(n, float(v), method, c, warning) for n, v in zip(group, found, strict=True)]
         x |= {s[0]: s[1] for s in solved}
         rows += solved
     kind = dict(nodes.dtypes)["id"]
     return nodes.sparkSession.createDataFrame(rows, f"id {kind}, x double, method string, scc {kind}, warning string")
 
 
+def _solved_cycle(ids: list, eff, inside: list, clamp: bool, epsilon: float, iterations: int, tolerance: float) -> tuple:
+    """(x, method, warning) of one component. inside: each node's (dep_id, coeff) pairs within it."""
+    import numpy as np
+
+    place = {v: k for k, v in enumerate(ids)}
+    n = len(ids)
+    a, v = np.zeros((n, n)), np.asarray(eff, float)
+    for i, pairs in enumerate(inside):
+        for dep, coeff in pairs:
+            a[i, place[dep]] += coeff
+    warning = f"component of {n} nodes" if n > LARGE else None
+    m = np.eye(n) - a
+    if n and np.linalg.cond(m) < 1 / epsilon:
+        x, method = np.linalg.solve(m, v), "gaussian"
+    else:
+        x, method, warning = v.copy(), "gauss_seidel", "singular system"
+        limit = 100 * max(1.0, float(np.abs(v).max(initial=0)))
+        for _ in range(iterations):
+            before = x.copy()
+            for i in range(n):
+                rest = a[i] @ x - a[i, i] * x[i]
+                x[i] = (v[i] + rest) / (1 - a[i, i]) if abs(1 - a[i, i]) > epsilon else v[i] + rest
+            if np.abs(x).max() > limit:
+                x, method, warning = v.copy(), "b", "diverged"
+                break
+            if np.abs(x - before).max() < tolerance:
+                break
+    return (np.maximum(x, 0.0) if clamp else x), method, warning
+
+
 def _cycle_solver(clamp: bool, epsilon: float, iterations: int, tolerance: float):
     def solve(pdf):
-        import numpy as np
         import pandas as pd
 
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        place = {v: k for k, v in enumerate(pdf["id"])}
-        n = len(pdf)
-        a, v = np.zeros((n, n)), pdf["eff"].to_numpy(float)
-        for i, inside in enumerate(pdf["inside"]):
-            for e in inside if inside is not None else []:
-                a[i, place[e["dep_id"]]] += e["coeff"]
-        warning = f"component of {n} nodes" if n > LARGE else None
-        m = np.eye(n) - a
-        if n and np.linalg.cond(m) < 1 / epsilon:
-            x, method = np.linalg.solve(m, v), "gaussian"
-        else:
-            x, method, warning = v.copy(), "gauss_seidel", "singular system"
-            limit = 100 * max(1.0, float(np.abs(v).max(initial=0)))
-            for _ in range(iterations):
-                before = x.copy()
-                for i in range(n):
-                    rest = a[i] @ x - a[i, i] * x[i]
-                    x[i] = (v[i] + rest) / (1 - a[i, i]) if abs(1 - a[i, i]) > epsilon else v[i] + rest
-                if np.abs(x).max() > limit:
-                    x, method, warning = v.copy(), "b", "diverged"
-                    break
-                if np.abs(x - before).max() < tolerance:
-                    break
-        if clamp:
-            x = np.maximum(x, 0.0)
+        inside = [[(e["dep_id"], e["coeff"]) for e in found] if found is not None else [] for found in pdf["inside"]]
+        x, method, warning = _solved_cycle(list(pdf["id"]), pdf["eff"], inside, clamp, epsilon, iterations, tolerance)
         return pd.DataFrame({"id": pdf["id"], "x": x, "method": method, "scc": pdf["scc"], "warning": warning})
 
     return solve

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,7 +71,8 @@ def label_of(kind: str, index: Column, year: Column, fmt: str, week_start: str =
         "{year}": year.cast("string"), "{year2}": F.right(year.cast("string"), F.lit(2)), "{index}": index.cast("string"), "{index02}": F.lpad(index.cast("string"), 2, "0"),
         "{type_short}": F.lit(SHORT[kind]), "{type_full}": F.lit(kind.capitalize()), "{from_date}": start.cast("string"), "{to_date}": end.cast("string"),
     }
-    return reduce(lambda out, t: F.replace(out, F.lit(t), tokens[t]), tokens, F.lit(TB_FORMAT.get(fmt, fmt)))
+    pieces = [x for x in re.split(r"(\{\w+\})", TB_FORMAT.get(fmt, fmt)) if x]
+    return F.concat(*[tokens.get(x, F.lit(x)) for x in pieces]) if pieces else F.lit("")
 
 
 def bucket(kind: str, index: Column, year: Column, week_start: str = "monday", short: str = "short", full: str = "full") -> Column:
