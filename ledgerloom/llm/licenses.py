@@ -1,6 +1,7 @@
 """License scans by sentence rules (built-in functions only).
 
-A text's sentences are normalised and mapped to the identifiers of known licence sentences; the
+A text's sentences are normalised and mapped to the identifiers of known licence sentences; a known
+sentence may run over several pieces, where a notice is wrapped or ';' or ':' stands in it. The
 sequence of identifiers (unknown sentences left out) is matched against ordered rules. A rule
 consumes the identifiers that it matches, so the full text of a licence is not reported again by a
 rule for one of its sentences.
@@ -55,30 +56,43 @@ RULES = (
     ("CC0-1.0", ("cc0-ref",)),
     ("Proprietary", ("reserved",)),
 )
+#: How notices name a licence and define a term for it; only what follows makes them a
+#: grant, so no rule takes such a sentence alone.
+NOTICES = (("apache-head", "licensed under the apache license version 2 0 the license"),)
+NOTICE_RULES = (
+    ("Apache-2.0", ("apache-head", "apache-use", "apache-copy", "apache-dist")),
+    ("Apache-2.0", ("apache-head", "apache-use")),
+)
 #: A sentence ends at a line end or at . ; : ! ? before white space or the text's end.
 SENTENCE_END = r"[\n\r]+|[.;:!?]+(?:[ \t\n\r]+|$)"
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lower-case a-z and digits, everything else a single space between;
-    those without any are left out."""
-    parts = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))), lambda s: s != "")
+#: Such an end with a full stop in it: known sentences don't run over it.
+FULL_STOP = r"(?<![.;:!?])[;:]*[.!?](?=[.;:!?]*(?:[ \t\n\r]|$))"
+
+
+def marked(text: Column) -> Column:
+    """Lower-case a-z and digits, everything else a single space between; S for the end of a
+    sentence, with H before it if that is a full stop. H stands at the start, HS at the end."""
+    ends = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), FULL_STOP, "H$0"), SENTENCE_END, "S")
+    return F.concat(F.lit("H"), F.regexp_replace(ends, "[^a-z0-9HS]+", " "), F.lit("HS"))
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", known=SENTENCES, rules=RULES) -> DataFrame:
-    """One row a document: id, n_sentences long, n_known long, sentence_ids string (identifiers in
-    the text's order, comma-separated), licenses string (of the rules that match, each once, in the
-    order of the rules; "" if none).
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", known=SENTENCES + NOTICES, rules=NOTICE_RULES + RULES) -> DataFrame:
+    """One row a document: id, n_sentences long (pieces between sentence ends), n_known long,
+    sentence_ids string (identifiers in the text's order, comma-separated), licenses string (of the
+    rules that match, each once, in the order of the rules; "" if none).
 
     Null and empty texts: no sentence, no licence. Repeated rows are scanned alike; other columns of
     docs are not read.
     """
     by_sentence = F.create_map(*[F.lit(x) for ident, sentence in known for x in (sentence, ident)])
-    found = docs.select(F.col(id_col), sentences(F.col(text_col)).alias("sentences"))
+    longest = sorted((sentence.replace(" ", "[ S]+") for _, sentence in known), key=len, reverse=True)
+    pattern = F.lit(f"(?<=[HS] ?)(?:{'|'.join(longest)})(?= ?[HS])")
+    found = docs.select(F.col(id_col), marked(F.col(text_col)).alias("text"))
     listed = found.select(
-        id_col, F.size("sentences").cast("long").alias("n_sentences"),
-        F.filter(F.transform("sentences", lambda s: F.try_element_at(by_sentence, s)), lambda s: s.isNotNull()).alias("ids"),
+        id_col, F.regexp_count("text", F.lit("[HS] ?[a-z0-9]")).cast("long").alias("n_sentences"),
+        F.transform(F.regexp_extract_all("text", pattern, F.lit(0)), lambda s: F.try_element_at(by_sentence, F.regexp_replace(s, "[ S]+", " "))).alias("ids"),
     )
     out = listed.withColumn("left", F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(",")))
     for k, (_, sequence) in enumerate(rules):
@@ -92,7 +106,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", kno
 
 
 def oracle_sql(known=SENTENCES, rules=RULES) -> str:
-    """scan() of documents in DuckDB's SQL, from the same fixed values."""
+    """scan() of documents in DuckDB's SQL, from SENTENCES and RULES: without sentences that run over
+    several pieces, and without NOTICES."""
     cases = " ".join(f"WHEN '{s}' THEN '{i}'" for i, s in known)
     steps, last = [], "l0"
     for k, (_, sequence) in enumerate(rules):

@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -178,6 +179,51 @@ def test_license_rules(spark):
     assert got[1]["sentence_ids"] == "mit-title,mit-notice" and got[6]["n_known"] == 3000 and got[4]["n_sentences"] == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. N. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED."""
+APACHE = """Copyright 2020 A. N. Author
+
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Copyright 2020 A. N. Author
+
+Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+NOTICES = [
+    (MIT, "MIT", "mit-title,mit-notice"), (APACHE, "Apache-2.0", "apache-head,apache-use,apache-copy,apache-dist"),
+    (GPL, "GPL-3.0-or-later", "gpl-free,gpl-hope,gpl-copy"), (GPL.replace("software:", "software;"), "GPL-3.0-or-later", "gpl-free,gpl-hope,gpl-copy"), (BSD, "BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"),
+]
+
+
+@pytest.mark.parametrize("width", [None, 40, 72])
+@pytest.mark.parametrize("prefix", ["", " * ", "# "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_full_license_notices(spark, width, prefix, end):
+    wrap = lambda t: end.join(prefix + line for part in t.split("\n") for line in (textwrap.wrap(part, width) if width else [part]) or [""])
+    rows = [(k, f"Some words{end}{wrap(t)}{end}more words") for k, (t, _, _) in enumerate(NOTICES)]
+    rows.append((99, "This work is licensed. Under the MIT license. Released under\nthe MIT license of. All\nrights! Reserved"))
+    got = {r["doc_id"]: (r["licenses"], r["sentence_ids"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (name, ids) for k, (_, name, ids) in enumerate(NOTICES)} | {99: ("", "")}
+
+
 # 5
 
 
