@@ -7,9 +7,9 @@ order of one shared priority queue, keyed by its distance from the splitting pla
 have to cross, up to SHARE of all leaves (more where those hold too few vectors); the candidates
 there are reranked by their exact distance.
 
-Leaves grow with the input; one of over BLOCK vectors is split into blocks by a hash of the id, and
-its queries go to each block. A block's answer is at most k rows a query, so pairs never become
-rows. A task holds one block.
+Rows are made distinct first; then leaves grow with the input. One of over BLOCK vectors is split
+into blocks by a hash of id and vector, and its queries go to each block. A block's answer is at
+most k rows a query, of different ids, so pairs never become rows. A task holds one block.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import broadcast_if_small, stage
+
 TREES = 6
 DEPTH = 7
 SHARE = 0.17
@@ -112,7 +114,7 @@ def leaves_of(tree: Tree, points):
 
 def visits(forest: list[Tree], point, budget: int, sizes: list[dict[int, int]], need: int) -> list[tuple[int, int]]:
     """(tree, leaf) in the order of the shared queue: `budget` of them, and more until the leaves of
-    some tree hold `need` vectors."""
+    some tree hold `need` ids. sizes: ids in each tree's leaves, or fewer."""
     margins = [(t.normals @ point - t.offsets).tolist() if t.left else [] for t in forest]
     queue = [(0.0, k, k, 0) for k in range(len(forest))]
     heapq.heapify(queue)
@@ -161,31 +163,44 @@ def search(
     ).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     lengths = chosen.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = lengths["n"] if lengths else 0
-    rows = chosen.filter(F.size("vector") == width)
+    distinct = stage(chosen.filter(F.size("vector") == width).groupBy("id", "vector").agg(F.max("query").alias("query")), "ann-vectors")
+    several = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("vector").alias("least")).filter("n > 1").select("id", "least")
+    if several.isEmpty():
+        rows = distinct.withColumn("first", F.lit(True))
+    else:  # one vector of each id is its first
+        several = stage(several, "ann-several")
+        rows = distinct.join(broadcast_if_small(several), "id", "left").withColumn("first", F.col("least").isNull() | (F.col("vector") == F.col("least"))).drop("least")
 
     def matrix(column: pa.Array):
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width) if len(column) else np.zeros((0, width))
 
-    taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
+    taken = rows.filter("first").orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()
     points = matrix(taken.column(0).combine_chunks()) if width else np.zeros((0, 0))
     rng = np.random.default_rng(seed)
     forest = [build_tree(points, rng, depth) for _ in range(trees)] if width else []
     planted = spark.sparkContext.broadcast(forest)  # trees * 2 ** depth planes at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: dict[int, int] = {}
+        tally: dict[int, list[int]] = {}
         for batch in batches:
-            x = matrix(batch.column(0))
+            x, first = matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
             for t, tree in enumerate(planted.value):
-                for leaf, n in zip(*np.unique(leaves_of(tree, x), return_counts=True), strict=True):
-                    tally[t << 32 | int(leaf)] = tally.get(t << 32 | int(leaf), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["cell", "n"])
+                leaf = leaves_of(tree, x)
+                n, firsts = np.bincount(leaf, minlength=tree.leaves), np.bincount(leaf[first], minlength=tree.leaves)
+                for k in np.flatnonzero(n).tolist():
+                    held = tally.setdefault(t << 32 | k, [0, 0])
+                    held[0] += int(n[k])
+                    held[1] += int(firsts[k])
+        columns = [list(tally), [v[0] for v in tally.values()], [v[1] for v in tally.values()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["cell", "n", "firsts"])
 
     # at most trees * 2 ** depth rows
-    counts = rows.select("vector").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect() if width else []
+    counts = rows.select("vector", "first").mapInArrow(count, "cell long, n long, firsts long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("firsts").alias("firsts")).collect() if width else []
     sizes: list[dict[int, int]] = [{} for _ in range(trees)]
+    firsts: list[dict[int, int]] = [{} for _ in range(trees)]
     for r in counts:
         sizes[r["cell"] >> 32][r["cell"] & 0xFFFFFFFF] = r["n"]
+        firsts[r["cell"] >> 32][r["cell"] & 0xFFFFFFFF] = r["firsts"]
     budget = max(1, math.ceil(share * sum(t.leaves for t in forest)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,13 +215,16 @@ def search(
                 ids = piece.column(0).to_numpy(zero_copy_only=False)
                 x = matrix(piece.column(1))
                 raw = [v.tobytes() for v in np.ascontiguousarray(x, "<f8")]
+                mixed = (np.ascontiguousarray(x, "<f8").view("<u8") * (np.arange(width, dtype=np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))).sum(axis=1, dtype=np.uint64)
+                mixed ^= mixed >> np.uint64(32)
+                mixed = (mixed + ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
                 for t, tree in enumerate(trees_):
                     leaf = leaves_of(tree, x)
                     n = np.array([parts[t].get(int(v), 1) for v in leaf])
-                    part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % n
+                    part = mixed.astype(np.int64) % n
                     yield out((np.int64(t) << 44) | (leaf << 24) | part, ids, np.zeros(len(ids), bool), raw)
                 for i in np.flatnonzero(piece.column(2).to_numpy(zero_copy_only=False)):
-                    cells = [t << 44 | leaf << 24 | p for t, leaf in visits(trees_, x[i], budget, sizes, k + 1) for p in range(parts[t].get(leaf, 1))]
+                    cells = [t << 44 | leaf << 24 | p for t, leaf in visits(trees_, x[i], budget, firsts, k + 1) for p in range(parts[t].get(leaf, 1))]
                     yield out(cells, [int(ids[i])] * len(cells), [True] * len(cells), [raw[i]] * len(cells))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,13 +250,16 @@ def search(
                     continue
                 if base is None:
                     base = (np.concatenate(ids), np.concatenate(held))
-                    base = (*base, np.einsum("ij,ij->i", base[1], base[1]))
+                    order = np.argsort(base[0], kind="stable")
+                    base = (base[0][order], base[1][order])
+                    starts = np.flatnonzero(np.diff(base[0], prepend=base[0][0] - 1))
+                    base = (*base, np.einsum("ij,ij->i", base[1], base[1]), starts)
                 for low in range(a, b, 64):
                     _nearest(who[low : min(b, low + 64)], x[low : min(b, low + 64)], base, k, got)
             if got[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    dealt = rows.mapInArrow(deal, "cell long, id long, query boolean, vector binary").repartition("cell").sortWithinPartitions("cell", "query")
+    dealt = rows.select("id", "vector", "query").mapInArrow(deal, "cell long, id long, query boolean, vector binary").repartition("cell").sortWithinPartitions("cell", "query")
     near = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
@@ -246,23 +267,27 @@ def search(
 
 
 def _nearest(who, x, base, k: int, got) -> None:
-    """Append to got (query ids, ids, distances) the k nearest of base for each query. The product
-    form picks candidates with a margin for its rounding; their distances are then taken exactly."""
+    """Append to got (query ids, ids, distances) the k nearest ids of base for each query, each by
+    its nearest vector. The product form picks candidates with a margin for its rounding; their
+    distances are then taken exactly. base: ids in order, their vectors, squared lengths, and where
+    each id starts."""
     import numpy as np
 
-    ids, points, norms = base
+    ids, points, norms, starts = base
     square = norms[None, :] - 2.0 * (x @ points.T)
     own = np.einsum("ij,ij->i", x, x)
     for i in range(len(x)):
         row = np.where(ids == who[i], np.inf, square[i])
-        if len(row) > k:
-            bound = np.partition(row, k - 1)[k - 1]
+        if len(starts) > k:
+            bound = np.partition(row if len(starts) == len(row) else np.minimum.reduceat(row, starts), k - 1)[k - 1]
             slack = 1e-9 * (abs(bound) + own[i] + 1e-300)
             at = np.flatnonzero((row <= bound + slack) & np.isfinite(row))
         else:
             at = np.flatnonzero(np.isfinite(row))
         exact = np.sqrt(((points[at] - x[i]) ** 2).sum(axis=1))
-        for j in np.lexsort((ids[at], exact))[:k]:
+        order = np.lexsort((ids[at], exact))
+        _, first = np.unique(ids[at][order], return_index=True)
+        for j in order[np.sort(first)[:k]]:
             got[0].append(int(who[i]))
             got[1].append(int(ids[at[j]]))
             got[2].append(float(exact[j]))

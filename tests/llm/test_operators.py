@@ -301,6 +301,28 @@ def test_ann_small_is_exact_and_skips_bad_vectors(spark):
     assert {r["query_id"] for r in got} == {0, 50, 500, 550} & {i for i, _ in unique} | {0, 50, 500}
 
 
+@pytest.mark.parametrize("block", [ann.BLOCK, 40])
+def test_ann_repeated_ids_take_one_place(spark, block):
+    """Each row twice, near rows 20 times, and an id with 300 different vectors: all as if it had
+    been there once."""
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.normal(size=8).tolist()) for k in range(1500)]
+    at = np.array(rows[0][1])
+    near = sorted(range(1, 1500), key=lambda k: ((np.array(rows[k][1]) - at) ** 2).sum())[:3]
+    many = [(2000, (at + 0.01 * rng.normal(size=8)).tolist()) for _ in range(300)]
+    rows += many
+    df = lambda r: spark.createDataFrame(r, "vec_id long, embedding array<double>")
+    found = lambda r: sorted(tuple(x) for x in ann.search(df(r), F.col("vec_id") % 100 == 0, block=block).filter("query_id < 2000").collect())
+    once = found(rows)
+    assert found(rows * 2 + [rows[k] for k in [0, *near] for _ in range(20)]) == once
+    by_query = {}
+    for q, rank, v, score in once:
+        by_query.setdefault(q, []).append((rank, v, score))
+    assert len(by_query) == 15 and all([r for r, _, _ in sorted(x)] == list(range(1, 11)) for x in by_query.values())
+    assert {v for _, v, _ in by_query[0]} >= {2000, *near}
+    assert min(by_query[0])[1:] == (2000, min(float(np.sqrt(((np.array(v) - at) ** 2).sum())) for _, v in many))
+
+
 @pytest.mark.parametrize("block", [32_768, 100])
 def test_ann_recall(spark, block):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
