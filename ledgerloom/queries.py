@@ -485,6 +485,19 @@ def q_document_cells(spark, d):
     return documents.evaluate_cells(rows, scalars, ["items"])
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
+SELECT l_orderkey AS doc_id, 'items__' || n || '__amount' AS name, sum(l_quantity * 2) OVER (PARTITION BY l_orderkey ORDER BY n) AS value FROM l""")
+def q_document_cells_whole(spark, d):
+    """Every line of an order is a cell; each but the first reads the one before."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = table(spark, d, "lineitem").withColumn("n", place)
+    before = F.when(F.col("n") > 1, F.concat(F.lit(" + items."), (F.col("n") - 1).cast("string"), F.lit(".amount"))).otherwise("")
+    text = F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2"), before)
+    rows = documents.cells(lines.withColumn("amount", text).withColumn("n", F.col("n").cast("string")), "items", "n", ["amount"], "l_orderkey")
+    scalars = lines.select(F.col("l_orderkey").alias("doc_id")).distinct()
+    return documents.evaluate_cells(rows, scalars, ["items"])
+
+
 @query("""WITH d AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS n, p_size // 10 AS t, p_size % 10 AS u, ['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'] AS w FROM part),
 x AS (SELECT p_partkey, CASE WHEN n < 10 THEN w[n + 1] ELSE (CASE WHEN t = 1 THEN 'mười' ELSE w[t + 1] || ' mươi' END) || CASE WHEN u = 0 THEN '' WHEN u = 5 THEN ' lăm' WHEN u = 1 AND t > 1 THEN ' mốt' WHEN u = 4 AND t > 1 THEN ' tư' ELSE ' ' || w[u + 1] END END AS words FROM d)
 SELECT p_partkey, upper(words[1]) || words[2:] AS words FROM x""")
