@@ -2,7 +2,7 @@
 
 Formula text is data, so it differs from row to row; but rows share few different texts. Each text
 that occurs becomes one template that is compiled once; a row takes the template that its text
-names. Header formulas read child tables as lists and see the values that the rows were given.
+names. Where there are many texts, rows are dealt by theirs, and each share has a plan of its own. Header formulas read child tables as lists and see the values that the rows were given.
 """
 
 from __future__ import annotations
@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.errors import FormulaError, LimitError
+from ledgerloom.errors import FormulaError
 from ledgerloom.expr import parser
 from ledgerloom.expr import values as V
+from ledgerloom.operators.graph import shared_folder
 from ledgerloom.plans.engine import FormulaEngine
 
-#: Different formula texts that one column may hold.
+#: Different formula texts that one plan may hold.
 MAX_TEMPLATES = 500
 _NUMBER = re.compile(r"^\s*[-+]?\d+(?:\.\d+)?\s*$")
 
@@ -54,21 +55,42 @@ class DocumentEngine:
     def _engine(self, formulas) -> FormulaEngine:
         return FormulaEngine(formulas, on_error=self.on_error, default_value=self.default_value, zero_division_policy=self.zero_division_policy)
 
-    def templates(self, rows: DataFrame, column: str) -> list[str]:
-        """The different formula texts of a column that aren't plain numbers: MAX_TEMPLATES at most."""
+    def _texts(self, rows: DataFrame, column: str) -> DataFrame:
+        """t: the different formula texts of a column that aren't plain numbers."""
         text = F.trim(F.col(column))
-        found = rows.select(text.alias("t")).filter(F.col("t").isNotNull() & (F.col("t") != "") & ~F.col("t").rlike(_NUMBER.pattern)).distinct().limit(MAX_TEMPLATES + 1).collect()
-        if len(found) > MAX_TEMPLATES:
-            raise LimitError(f"column {column!r} has over {MAX_TEMPLATES} different formulas")
-        return sorted(r["t"] for r in found)
+        return rows.select(text.alias("t")).filter(F.col("t").isNotNull() & (F.col("t") != "") & ~F.col("t").rlike(_NUMBER.pattern)).distinct()
+
+    def templates(self, rows: DataFrame, column: str) -> list[str]:
+        """The different formula texts of a column that aren't plain numbers."""
+        return sorted(r["t"] for r in self._texts(rows, column).collect())
 
     def evaluate_text(self, rows: DataFrame, column: str, out: str) -> DataFrame:
         """rows with `out`: the value (double) of the formula text in `column` over the row's own
-        columns; plain numbers stand for themselves."""
+        columns; plain numbers stand for themselves.
+
+        Over MAX_TEMPLATES different texts, rows are written to the shared folder by a hash of their
+        text, and so is each share's result: the driver holds one share's texts at a time.
+        """
+        few = [r["t"] for r in self._texts(rows, column).limit(MAX_TEMPLATES + 1).collect()]
+        if len(few) <= MAX_TEMPLATES:
+            return self._with_templates(rows, column, out, sorted(few))
+        spark, folder = rows.sparkSession, shared_folder(rows.sparkSession, "formula-texts")
+        count = self._texts(rows, column).count()
+        shares = -(-2 * count // MAX_TEMPLATES)  # about half of MAX_TEMPLATES texts in each
+        share = F.coalesce(F.pmod(F.xxhash64(F.trim(F.col(column))), F.lit(shares)), F.lit(0))
+        rows.withColumn("__share", share).write.partitionBy("__share").parquet(f"{folder}/rows")
+        held = sorted(r["__share"] for r in spark.read.parquet(f"{folder}/rows").select("__share").distinct().collect())
+        for k in held:
+            mine = spark.read.schema(rows.schema).parquet(f"{folder}/rows/__share={k}")
+            done = self._with_templates(mine, column, out, self.templates(mine, column))
+            done.write.mode("append").parquet(f"{folder}/out")
+        return spark.read.schema(done.schema).parquet(f"{folder}/out")
+
+    def _with_templates(self, rows: DataFrame, column: str, out: str, texts: list[str]) -> DataFrame:
         env_engine = self._engine({})
         value: Column = F.trim(F.col(column)).try_cast("double")
         branches = None
-        for text in self.templates(rows, column):
+        for text in texts:
             try:
                 v = V.number(env_engine.column(rows.drop(out) if out in rows.columns and out != column else rows, text))
                 c = env_engine.compile_value(out, V.Val(v.col.cast("double"), V.DOUBLE, v.ok, v.zero)).value

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.errors import BindingError, FormulaError
 from ledgerloom.expr import values as V
+from ledgerloom.operators.graph import shared_folder
 from ledgerloom.sources import filters as fl
 from ledgerloom.sources.bindings import SOURCES, Binding, Resolver, aggregate_of, register_source
 
@@ -408,27 +409,34 @@ def _multiplier(r: Resolver, df: DataFrame, m, name: str, c, asked: str) -> Data
     return df.withColumn(f"{name}_w", want).join(r.catalog.sized(m["doctype"], best), F.col(f"{name}_w") == F.col(f"{name}_k"), "left")
 
 
-#: A range table has at most so many bands; more stop the query.
+#: Bands that go to every task in one row.
 MAX_BANDS = 10_000
 
 
 @register_source("range_lookup", ("doctype", "value_field", "input_value", "range_from_field", "range_to_field"), None, casts=True)
 def range_lookup(r: Resolver, df: DataFrame, bs: list[Binding]) -> DataFrame:
-    """Inclusive bands, the first in the table's order that holds the value. The bands, MAX_BANDS at
-    most, go to every task as one row; documents are not shuffled."""
+    """Inclusive bands, the first in the table's order that holds the value. The bands go to every
+    task as rows of MAX_BANDS bands, one after the other; documents are not shuffled."""
     for b in bs:
         c = b.config
         t = r.catalog.table(c["doctype"]).filter(fl.constant_condition(c.get("filters")))
         num = lambda x: F.col(x).cast("string").try_cast("double")
         bands = t.select(num(c["range_from_field"]).alias("lo"), num(c["range_to_field"]).alias("hi"), F.col(c["value_field"]).alias("v"), r.catalog.ordinal(c["doctype"], t).alias("o")).filter("lo IS NOT NULL AND hi IS NOT NULL")
-        n = bands.limit(MAX_BANDS + 1).count()
-        if n > MAX_BANDS:
-            raise BindingError(f"{c['doctype']!r} has over {MAX_BANDS} bands")
-        one = bands.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "lo", "hi", "v"))), lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), e["v"].alias("v"))).alias("__bands"))
+        parts = [bands]
+        if bands.limit(MAX_BANDS + 1).count() > MAX_BANDS:
+            path = f"{shared_folder(bands.sparkSession, 'bands')}/rows"
+            place = F.row_number().over(Window.orderBy("o", "lo", "hi", "v")) - 1
+            bands.withColumn("part", F.floor(place / MAX_BANDS)).write.parquet(path)
+            placed = bands.sparkSession.read.parquet(path)
+            parts = [placed.filter(F.col("part") == k) for k in range(placed.agg(F.max("part")).first()[0] + 1)]
         x = fl.value_column(c["input_value"], df.columns, c).cast("string").try_cast("double")
-        df = df.withColumn("__x", x).join(F.broadcast(one), F.lit(True), "left")  # one row of at most MAX_BANDS bands
-        hit = F.filter("__bands", lambda e: (F.col("__x") >= e["lo"]) & (F.col("__x") <= e["hi"]))
-        df = df.withColumn(b.variable, F.get(hit, F.lit(0))["v"]).drop("__x", "__bands")
+        df = df.withColumn("__x", x)
+        for k, part in enumerate(parts):
+            one = part.agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "lo", "hi", "v"))), lambda e: F.struct(e["lo"].alias("lo"), e["hi"].alias("hi"), e["v"].alias("v"))).alias("__bands"))
+            df = df.join(F.broadcast(one), F.lit(True), "left")  # one row of at most MAX_BANDS bands
+            hit = F.get(F.filter("__bands", lambda e: (F.col("__x") >= e["lo"]) & (F.col("__x") <= e["hi"])), F.lit(0))
+            df = df.withColumn("__hit", F.coalesce("__hit", hit) if k else hit).drop("__bands")
+        df = df.withColumn(b.variable, F.col("__hit")["v"]).drop("__x", "__hit")
     return df
 
 

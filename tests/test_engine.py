@@ -324,3 +324,28 @@ def test_build_cells(spark):
     assert out == {"a__K1__qty": 2.0, "a__K2__qty": 6.0, "b__P__amount": 7.0, "total": 70.0}
     with pytest.raises(FormulaError, match="two cells"):
         documents.build_cells({"a": documents.CellTable(a.unionByName(a), "slug", ("qty",))})
+
+
+@pytest.mark.parametrize("on_error", ["default", "null"])
+def test_more_formula_texts_than_one_plan_holds(spark, monkeypatch, on_error):
+    monkeypatch.setattr(documents, "MAX_TEMPLATES", 8)
+    rows = [("D" if k % 2 else "E", k, f" qty * {k % 40} + 1" if k % 50 else "bad(", [k]) for k in range(200)] + [("D", 200, "7.5", None), ("D", 201, None, None), ("E", 202, "", None)]
+    items = spark.createDataFrame(rows, "doc_id string, qty long, formula string, tags array<long>")
+    e = documents.DocumentEngine({"total": "sum(items.*.amount)"}, (documents.ChildTable("items", "formula", "amount"),), on_error=on_error)
+    heads, out = e.apply(spark.createDataFrame([("D",), ("E",)], "doc_id string"), {"items": items})
+    got = {r["qty"]: (r["doc_id"], r["amount"], r["tags"]) for r in out["items"].collect()}
+    bad = 0.0 if on_error == "default" else None
+    want = {k: (d, {200: 7.5, 201: None, 202: None}.get(k, float(k * (k % 40) + 1) if k % 50 else bad), tags) for d, k, _, tags in rows}
+    assert got == want and out["items"].count() == len(rows) and len(e.preview({"items": items})["items.formula"]) == 41
+    totals = {r["doc_id"]: r["total"] for r in heads.collect()}
+    assert totals == {d: sum(v or 0 for x, v, _ in want.values() if x == d) for d in "DE"}
+
+
+def test_more_bands_than_one_row_holds(spark, monkeypatch):
+    monkeypatch.setattr("ledgerloom.sources.types.MAX_BANDS", 3)
+    bands = [(n, float(n % 7), float(n % 7 + n % 3), None if n == 4 else f"b{n}") for n in range(10, 0, -1)]
+    t = spark.createDataFrame(bands, "n long, lo double, hi double, v string")
+    rows = spark.createDataFrame([(k / 2,) for k in range(-2, 22)] + [(None,)], "x double")
+    b = Binding("band", "range_lookup", {"doctype": "t", "value_field": "v", "input_value": "{row.x}", "range_from_field": "lo", "range_to_field": "hi"}, "Data")
+    got = {r["x"]: r["band"] for r in Resolver(Catalog(spark, {"t": t}, order={"t": ("n",)}), "x").resolve(rows, [b]).collect()}
+    assert got == {x: next((v for n, lo, hi, v in sorted(bands) if x is not None and lo <= x <= hi), None) for x in [k / 2 for k in range(-2, 22)] + [None]}
