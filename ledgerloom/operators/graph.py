@@ -2,7 +2,7 @@
 
 nodes(id), edges(id, dep_id[, coeff]): id depends on dep_id. Unknown dependencies, self loops and
 repeated edges don't count for order. Rounds of joins run until nothing changes; each round is
-written out, so its plan stays short. Graphs that a count shows to have at most DRIVER_EDGES edges
+written out, so its plan stays short; a graph that needs more than MAX_ROUNDS is an error. Graphs that a count shows to have at most DRIVER_EDGES edges
 and as many nodes are handled on the driver instead.
 """
 
@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.errors import LimitError
+
 MAX_ROUNDS = 10_000
 #: A strongly connected component of over so many nodes is solved, with a warning.
 LARGE = 15
@@ -132,6 +134,9 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         placed.append(free.withColumn("level", F.lit(level)))
         open_ = _staged(open_.join(free, "id", "left_anti"))
         left = _staged(left.join(free.withColumnRenamed("id", "dep_id"), "dep_id", "left_anti").select("id", "dep_id"))
+    else:
+        if not open_.join(left.select("id").distinct(), "id", "left_anti").isEmpty():
+            raise LimitError(f"levels: not settled after {MAX_ROUNDS} rounds")
     rest = open_.withColumn("level", F.lit(-1))
     for part in placed:
         rest = rest.unionByName(part)
@@ -194,6 +199,9 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             found = _staged(found.unionByName(frontier))
         done.append(found)
         live = _staged(live.join(found.select("id"), "id", "left_anti").join(found.select(F.col("id").alias("dep_id")), "dep_id", "left_anti").select("id", "dep_id"))
+    else:
+        if not live.isEmpty():
+            raise LimitError(f"scc: not settled after {MAX_ROUNDS} rounds")
     if not done:
         return ids.withColumn("scc", F.col("id"))
     every = done[0]
@@ -216,12 +224,12 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
 
     Components are solved in the order of the condensed graph, a level a round: single nodes
     directly, cycles by elimination with partial pivoting; a singular system by Gauss-Seidel, or b
-    if that diverges. clamp: no x is below 0. A component is solved by one task.
+    if that diverges. A null b is 0. clamp: no x is below 0. A component is solved by one task.
     """
     if small := _small_system(nodes, edges, b, coeff):
         return _solve_small(nodes, *small, clamp, epsilon, iterations, tolerance)
     comp = _staged(scc(nodes, edges))
-    base = nodes.select("id", F.col(b).cast("double").alias("b"))
+    base = nodes.select("id", F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias("b"))
     known = comp.withColumnRenamed("id", "dep_id").withColumnRenamed("scc", "dep_scc")
     links = _staged(edges.select("id", "dep_id", F.col(coeff).cast("double").alias("coeff")).join(comp, "id").join(known, "dep_id").groupBy("id", "dep_id", "scc", "dep_scc").agg(F.sum("coeff").alias("coeff")))
     condensed = links.filter("scc <> dep_scc").select(F.col("scc").alias("id"), F.col("dep_scc").alias("dep_id"))
@@ -251,7 +259,7 @@ def _small_system(nodes: DataFrame, edges: DataFrame, b: str, coeff: str) -> tup
     """b of each node and the coefficients of its dependencies, if a count shows that both are few."""
     if nodes.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES or edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
         return None
-    base = {r["id"]: r["b"] for r in nodes.select("id", F.col(b).cast("double").alias("b")).collect()}
+    base = {r["id"]: r["b"] for r in nodes.select("id", F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias("b")).collect()}
     weights: dict = {n: {} for n in base}
     for r in edges.select("id", "dep_id", F.col(coeff).cast("double").alias("c")).collect():
         if r["id"] in base and r["dep_id"] in base:

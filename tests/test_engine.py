@@ -349,3 +349,27 @@ def test_more_bands_than_one_row_holds(spark, monkeypatch):
     b = Binding("band", "range_lookup", {"doctype": "t", "value_field": "v", "input_value": "{row.x}", "range_from_field": "lo", "range_to_field": "hi"}, "Data")
     got = {r["x"]: r["band"] for r in Resolver(Catalog(spark, {"t": t}, order={"t": ("n",)}), "x").resolve(rows, [b]).collect()}
     assert got == {x: next((v for n, lo, hi, v in sorted(bands) if x is not None and lo <= x <= hi), None) for x in [k / 2 for k in range(-2, 22)] + [None]}
+
+
+def test_graph_says_when_rounds_run_out(spark, monkeypatch):
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 0)
+    nodes = spark.createDataFrame([(k,) for k in range(3)], "id long")
+    chain = spark.createDataFrame([(1, 0), (2, 1)], "id long, dep_id long")
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 3)
+    assert dict(graph.levels(nodes, chain).collect()) == {0: 0, 1: 1, 2: 2}
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 2)
+    with pytest.raises(LimitError):
+        graph.levels(nodes, chain)
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 0)
+    with pytest.raises(LimitError):
+        graph.scc(nodes, spark.createDataFrame([(1, 0), (0, 1)], "id long, dep_id long"))
+
+
+@pytest.mark.parametrize("clamp", [True, False])
+@pytest.mark.parametrize("small", [True, False])
+def test_linear_system_with_a_null(spark, monkeypatch, small, clamp):
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 50_000 if small else 0)
+    nodes = spark.createDataFrame([(1, 4.0), (2, None), (3, None), (4, 2.0)], "id long, b double")
+    edges = spark.createDataFrame([(2, 1, 0.5), (3, 4, 0.5), (4, 3, 0.5)], "id long, dep_id long, coeff double")
+    x = {r["id"]: r["x"] for r in graph.solve_linear(nodes, edges, clamp=clamp).collect()}
+    assert x == {1: 4.0, 2: 2.0, 3: pytest.approx(4 / 3), 4: pytest.approx(8 / 3)}
