@@ -50,7 +50,8 @@ STAGES = [
     ("byte-level BPE", bpe_encoding),
 ]
 
-#: The digests of token ids can't be had in SQL; tests hold run() against a brute-force version.
+#: The digests of token ids can't be had in SQL; tests/llm/test_pipeline.py holds run() against plain
+#: Python stage by stage, with the fitted models of operators 5 and 8.
 ORACLE_SQL = None
 
 
