@@ -26,17 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine), a temporary one is set.
+    Where the session names none, that of SparkContext.setCheckpointDir; with neither, a temporary
+    folder in local mode (tests), where there is one machine, and an error on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if folder:
         return folder
-    return folder
+    context = spark.sparkContext
+    set_before = context._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
+    if not context._jsc.sc().isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +64,11 @@ def drop_staged(df: DataFrame) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count shows at most `rows` rows."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """broadcast(df) if a count shows at most `rows` rows; otherwise df, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df

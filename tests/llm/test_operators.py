@@ -468,5 +468,79 @@ def test_representatives_keep_one_row_a_group(spark, docs):
     out = simhash.representatives(docs)
     assert out.columns == docs.columns
     got = [r["doc_id"] for r in out.collect()]
-    want = {r["component_id"] for r in simhash.groups(docs).collect()}
+    want = {r["component_id"] for r in simhash.similar_groups(docs).collect()}
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def words_of(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def brute_similarity(a, b):
+    sets = []
+    for w in (words_of(a), words_of(b)):
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    union = sets[0] | sets[1]
+    return len(sets[0] & sets[1]) / len(union) if union else 1.0
+
+
+def brute_similar_groups(texts):
+    """Place of the first text of each text's group: similar, and 7 bits or less apart in one of the
+    operator's two fingerprints."""
+    words = simhash.Words()
+    prints = [simhash.pair_fingerprints(words(t)) for t in texts]
+    parent = list(range(len(texts)))
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if min((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)) <= 7 and brute_similarity(texts[i], texts[j]) >= 0.8:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    return [root(k) for k in range(len(texts))]
+
+
+def near_copies(rng, text, n, edits):
+    out = []
+    for _ in range(n):
+        w = text.split()
+        for _ in range(edits):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def family_texts():
+    rng = random.Random(11)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    texts = []
+    for size, n, edits in ((300, 40, 5), (300, 40, 7), (60, 20, 1), (2000, 6, 30), (100, 1, 0)):
+        first = " ".join(rng.choices(vocabulary, k=size))
+        texts += [first, *near_copies(rng, first, n, edits), first.upper()]
+    return texts + [None, "", " \n", "one two", "One  two", "one two three"]
+
+
+def test_pair_fingerprints_are_majorities(docs):
+    for text in [r["text"] for r in docs.collect()][:30]:
+        h = simhash.Words()(text)
+        runs = [h[k : k + 2] for k in range(max(1, len(h) - 1))] if len(h) else []
+        for seed, got in zip((1, 2), simhash.pair_fingerprints(h), strict=True):
+            hashes = [int(simhash.shingle_hashes(r, 2, seed)[0]) for r in runs]
+            assert got == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_similar_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_TEXTS", block)
+    texts = family_texts()
+    frame = spark.createDataFrame([(k, t, "x", 1, "y") for k, t in enumerate(texts)], "doc_id long, text string, digest string, fp long, family string")
+    want = brute_similar_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(frame).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+    kept = simhash.representatives(frame)
+    assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert simhash.representatives(frame.limit(0)).count() == 0
+    close = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if brute_similarity(texts[i], texts[j]) >= 0.8]
+    # the fingerprints are a filter: on check_s one of the two is 7 bits or less apart in 98 % of such pairs
+    assert sum(want[i] == want[j] for i, j in close) >= 0.97 * len(close)

@@ -13,7 +13,7 @@ import xxhash
 import corpus_pipeline
 from ledgerloom.llm import quality, queries, toxicity
 from ledgerloom.llm.common import stage
-from tests.llm.test_operators import brute_components, brute_fingerprint, spark_pair, tik
+from tests.llm.test_operators import brute_similar_groups, spark_pair, tik
 
 SF = "/root/testdata/sf0.01"
 
@@ -72,11 +72,9 @@ def test_run_keeps_what_the_stages_should(spark, monkeypatch):
     want = [i for i in want if math.fsum(weight.get(f, 0.0) for f in set(toxicity.hashed(rows[i]["text"]).tolist())) + learnt.bias < 0]
     assert got[1] == sorted(want)
 
-    fp = {i: brute_fingerprint(rows[i]["text"]) for i in want}
-    roots, least = brute_components(set(fp.values())), {}
-    for i, f in fp.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    want = list(least.values())
+    want = sorted(want)
+    first = brute_similar_groups([rows[i]["text"] for i in want])
+    want = [i for k, i in enumerate(want) if first[k] == k]
     assert got[2] == sorted(want) and len(got[2]) < len(got[1]) < len(got[0]) < len(rows)
 
     want = mixed([(i, rows[i]["source"], rows[i]["text"]) for i in want])
