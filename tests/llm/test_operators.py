@@ -175,7 +175,7 @@ def test_license_rules(spark):
     apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file'
     rows = [(1, mit, ""), (2, "Text.\nReleased under the MIT License.", ""), (3, "Licensed under the Apache License, Version 2.0. Licensed under CC BY-NC 4.0.", ""), (4, None, ""), (5, apache, ""), (6, "All rights reserved. " * 3000, "")]
     got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, ids string")).collect()}
-    assert [got[k]["licenses"] for k in range(1, 7)] == ["MIT", "MIT", "Apache-2.0,CC-BY-NC-4.0", "", "", "Proprietary"]
+    assert [got[k]["licenses"] for k in range(1, 7)] == ["MIT", "MIT", "Apache-2.0,CC-BY-NC-4.0", "", "Apache-2.0", "Proprietary"]
     assert got[1]["sentence_ids"] == "mit-title,mit-notice" and got[6]["n_known"] == 3000 and got[4]["n_sentences"] == 0
 
 
@@ -207,9 +207,29 @@ Redistribution and use in source and binary forms, with or without modification,
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD3 = BSD + """
+
+3. Neither the name of the Example Project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""
+CC = "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."
 NOTICES = [
-    (MIT, "MIT", "mit-title,mit-notice"), (APACHE, "Apache-2.0", "apache-head,apache-use,apache-copy,apache-dist"),
-    (GPL, "GPL-3.0-or-later", "gpl-free,gpl-hope,gpl-copy"), (GPL.replace("software:", "software;"), "GPL-3.0-or-later", "gpl-free,gpl-hope,gpl-copy"), (BSD, "BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"),
+    (MIT, "MIT", "mit-title,mit-grant,mit-notice"), (APACHE, "Apache-2.0", "apache-head,apache-use,apache-copy,apache-dist,apache-see"),
+    (GPL, "GPL-3.0-or-later", "GPL-3.0-later,gnu-hope,GPL-copy"), (GPL.replace("software:", "software;"), "GPL-3.0-or-later", "GPL-3.0-later,gnu-hope,GPL-copy"),
+    (GPL.replace("version 3", "version 2"), "GPL-2.0-or-later", "GPL-2.0-later,gnu-hope,GPL-copy"),
+    (GPL.replace("GNU", "GNU Lesser").replace("version 3", "version 2.1").replace("program", "library"), "LGPL-2.1-or-later", "LGPL-2.1-later,gnu-hope,LGPL-copy"),
+    (GPL.replace("GNU", "GNU Affero"), "AGPL-3.0-or-later", "AGPL-3.0-later,gnu-hope,AGPL-copy"),
+    (BSD, "BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"), (BSD3, "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse,bsd-as-is"),
+    (BSD3.replace("the Example Project", "<organization>"), "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-endorse,bsd-as-is"),
+    (MPL, "MPL-2.0", "mpl-head,mpl-obtain"), (ISC, "ISC", "isc-grant,isc-as-is"), (UNLICENSE, "Unlicense", "unlicense-free,unlicense-anyone"), (CC, "CC-BY-SA-4.0", "ref-CC-BY-SA-4.0"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later", "spdx-GPL-2.0-or-later"), ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause", "spdx-BSD-3-Clause"),
 ]
 
 
@@ -224,6 +244,44 @@ def test_full_license_notices(spark, width, prefix, end):
     assert got == {k: (name, ids) for k, (_, name, ids) in enumerate(NOTICES)} | {99: ("", "")}
 
 
+def brute_sentences(text, known):
+    """Identifiers of known sentences: the longest run of whole pieces without a full stop inside, from
+    left to right, by comparing lists of words."""
+    table = {tuple(s.split()): i for i, s in known}
+    pieces, closed = [], True  # (words, whether a full stop is before them)
+    for part in re.split(r"([.;:!?]+(?=[ \t\n\r]|\Z)|[\n\r]+)", (text or "").lower()):
+        if re.fullmatch(r"[.;:!?]+|[\n\r]+", part):
+            closed |= bool(re.search("[.!?]", part))
+        elif found := re.findall("[a-z0-9]+", part):
+            pieces.append((found, closed))
+            closed = False
+    out, k = [], 0
+    while k < len(pieces):
+        run, best = [], None
+        for j in range(k, len(pieces)):
+            if j > k and pieces[j][1]:
+                break
+            run = run + pieces[j][0]
+            if tuple(run) in table:
+                best = (j, table[tuple(run)])
+        if best:
+            out.append(best[1])
+        k = best[0] + 1 if best else k + 1
+    return out
+
+
+def test_license_sentences_equal_brute_force(spark):
+    rng = random.Random(9)
+    known = licenses.known_sentences()
+    parts = [s for _, s in known[:: len(known) // 60]] + [s.capitalize() for _, s in licenses.SENTENCES] + ["some other words", "copyright 2020", "x"]
+    rows = []
+    for k in range(150):
+        text = "".join(rng.choice(parts) + rng.choice([". ", "\n", "; ", " ", ": ", "\n\n", "!\r\n", ".\n * "]) for _ in range(rng.randint(1, 12)))
+        rows.append((k, " ".join(w if rng.random() > 0.05 else w + "\n" for w in text.split(" "))))
+    got = {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: ",".join(brute_sentences(t, known)) for k, t in rows}
+
+
 # 5
 
 
