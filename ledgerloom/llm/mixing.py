@@ -35,9 +35,11 @@ def regularity(text: Column, size: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(LEAST_QUALITY), F.lit(1.0) / (F.lit(1.0) + apart)), F.lit(LEAST_QUALITY))
 
 
-def uniform(ident: Column, seed: int) -> Column:
-    """A number between 0 and 1, both excluded, from the first 52 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
+def uniform(ident: Column, text: Column, seed: int) -> Column:
+    """A number between 0 and 1, both excluded, from the first 52 bits of a digest of the id; of the
+    text where there is none."""
+    without = F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), without)).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -92,20 +94,33 @@ def mix(
     as LEAST_QUALITY); by default regularity().
 
     Null text: size 0, nothing to take. Null source: a source of its own, after all others. Null id:
-    drawn like an id "null". Equal keys go by id, then size; rows that are equal in all three are
-    interchangeable, so reruns agree. An empty table gives an empty result.
+    drawn by the text. Equal keys go by id, then size; rows that are equal in all three are
+    interchangeable, so reruns agree. Very long texts are counted whole. Other columns of docs,
+    whatever their names, are not read. An empty table gives an empty result.
     """
-    text = F.col(text_col)
+    mixed = _mix(docs, id_col, text_col, source_col, weights, share, cap, seed, quality)
+    return mixed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs", "taken", "copies")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, quality: Column | None) -> DataFrame:
+    """(id, source, size, key) and `row`, the whole row of docs."""
+    text, size = docs[text_col], F.col("size")
     sized = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text.alias("text"),
-        word_count(text).alias("size"), (quality if quality is not None else F.lit(None).cast("double")).alias("given"),
+        docs[id_col].alias("id"), docs[source_col].cast("string").alias("source"), text.alias("text"), word_count(text).alias("size"),
+        (quality if quality is not None else F.lit(None)).cast("double").alias("given"), F.struct(*[docs[c] for c in docs.columns]).alias("row"),
     )
-    drawn = sized.withColumn("quality", regularity(F.col("text"), F.col("size")) if quality is None else F.col("given").cast("double"))
+    weight = regularity(F.col("text"), size) if quality is None else F.col("given")
     good = (F.col("quality") > 0) & (F.col("quality") < float("inf"))
-    key = -F.log(uniform(F.col("id"), seed)) / F.when(good, F.col("quality")).otherwise(F.lit(LEAST_QUALITY))
+    key = -F.log(uniform(F.col("id"), F.col("text"), seed)) / F.when(good, F.col("quality")).otherwise(F.lit(LEAST_QUALITY))
+    return sized.withColumn("quality", weight).select("id", "source", "size", key.alias("key"), "row")
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, cap: float, seed: int, quality: Column | None) -> DataFrame:
+    """mix() with its key, and the columns called id and source."""
+    drawn = _keyed(docs, id_col, text_col, source_col, seed, quality)
     place = F.least(F.floor(F.col("key") / (F.col("key") + 1.0) * float(BINS * BINS)), F.lit(BINS * BINS - 1)).cast("int")
     rows = stage(
-        drawn.withColumn("key", key).withColumn("place", place).select(
+        drawn.withColumn("place", place).select(
             "id", "source", "size", "key",
             F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("src"),
             F.shiftright("place", 12).alias("upper"), F.col("place").bitwiseAND(F.lit(BINS - 1)).alias("lower"),
@@ -136,7 +151,7 @@ def mix(
     edge = edge.withColumn("more", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_over") - F.col("sum_before")))).drop("sum_before")
     both = clear.unionByName(edge)
     return both.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "epochs",
+        "id", "source", "size", "key", "source_size", "target", "epochs",
         (F.col("epochs") * F.col("size") + F.col("more")).cast("long").alias("taken"),
         (F.col("epochs") + F.when((F.col("size") > 0) & (F.col("more") * 2 >= F.col("size")), 1).otherwise(0)).cast("int").alias("copies"),
     )
@@ -152,12 +167,24 @@ def _boundary(sums: DataFrame, step: str, *above: str) -> DataFrame:
     )
 
 
-def materialize(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def materialize(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 7,
+    quality: Column | None = None,
+) -> DataFrame:
     """The mix as documents: every row of docs as often as mix() has `copies` of it, columns as they
-    are. Rows that share an id and a size take each other's place, so their copies are shared out as
-    the least that any of them has."""
-    mixed = mix(docs, id_col=id_col, **options)
-    copies = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.min("copies").alias("__copies"))
-    sized = docs.withColumn("__size_here", word_count(F.col(options.get("text_col", "text"))))
-    joined = sized.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__size_here") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    are, whatever their names.
+
+    Rows that share source, id, size and key take each other's place: their copies are added and
+    dealt out evenly again. Nulls, empty and very long texts and empty tables are as in mix(); a
+    document of no words is never taken.
+    """
+    mixed = _mix(docs, id_col, text_col, source_col, weights, share, cap, seed, quality)
+    # joined without nulls, so that the join's partitioning serves the window too
+    named = lambda df: df.withColumns({"id": F.coalesce(F.concat(F.lit("0"), F.col("id").cast("string")), F.lit("1")), "source": F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))})
+    alike = ["id", "source", "size", "key"]
+    dealt = named(mixed).groupBy(*alike).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).filter("copies > 0")
+    joined = named(_keyed(docs, id_col, text_col, source_col, seed, quality)).join(dealt, alike)
+    place = F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0)))
+    mine = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+    repeated = joined.withColumn("place", place).select("row", F.explode(F.array_repeat(F.lit(0), mine.cast("int"))).alias("copy"))
+    return repeated.select("row.*")

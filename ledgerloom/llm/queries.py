@@ -96,7 +96,7 @@ WITH d AS (
   SELECT doc_id, source, coalesce('0' || source, '1') AS src, text,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 k AS (
-  SELECT *, -ln((CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+  SELECT *, -ln((CAST(CAST('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null' || md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
     / coalesce(greatest(0.1::DOUBLE, 1::DOUBLE / (1::DOUBLE + abs(CAST(length(text) AS DOUBLE) / CASE WHEN size > 0 THEN CAST(size AS DOUBLE) END - 6::DOUBLE))), 0.1::DOUBLE) AS key
   FROM d),
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),

@@ -86,11 +86,26 @@ def test_mix_prefers_quality(spark):
 
 
 def test_materialized_mix_keeps_columns(spark, docs):
-    out = mixing.materialize(docs)
-    assert out.columns == docs.columns
-    copies = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(docs.filter("doc_id < 15")).collect()}
-    got = mixing.materialize(docs.filter("doc_id < 15")).groupBy("doc_id").count().collect()
-    assert {r["doc_id"]: r["count"] for r in got} == {k[0]: n for k, n in copies.items() if n}
+    clashing = docs.withColumns({c: F.lit("keep me") for c in ("id", "key", "copies", "row", "copy", "place", "__id", "__size_here")})
+    out = mixing.materialize(clashing)
+    assert out.columns == clashing.columns
+    assert {r["id"] for r in out.collect()} == {"keep me"}
+    copies = {}
+    for r in mixing.mix(docs).collect():
+        copies[r["doc_id"], r["size"]] = copies.get((r["doc_id"], r["size"]), 0) + r["copies"]
+    got = {(r["doc_id"], r["size"]): r["n"] for r in out.withColumn("size", mixing.word_count(F.col("text"))).groupBy("doc_id", "size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {k: n for k, n in copies.items() if n}
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Every text draws its own key, and copies of equal rows are dealt out without loss."""
+    d = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), (F.col("id") % 500).cast("string")).alias("text"), F.lit("s").alias("source"))
+    d = d.unionByName(spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.lit("x y z").alias("text"), F.lit("t").alias("source")))
+    rows = mixing.mix(d, share=0.7, weights=(1, 1)).collect()
+    taken = {s: sum(r["taken"] for r in rows if r["source"] == s) for s in "st"}
+    assert taken == {s: next(round(r["target"]) for r in rows if r["source"] == s) for s in "st"}
+    out = mixing.materialize(d, share=0.7, weights=(1, 1)).collect()
+    assert len(out) == sum(r["copies"] for r in rows) and len({r["text"] for r in out if r["source"] == "s"}) > 200
 
 
 # 2 and 9
