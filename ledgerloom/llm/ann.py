@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 TREES trees are built on a bounded sample (SAMPLE vectors by hash order). A tree splits at the
-median of the projections onto the difference of two sampled vectors, DEPTH levels deep. Every
-vector is indexed: it lies in one leaf of each tree. A query visits leaves of all trees in the
-order of one shared priority queue, keyed by its distance from the splitting planes that it would
-have to cross, up to SHARE of all leaves (more where those hold too few vectors); the candidates
-there are reranked by their exact distance.
-
-Rows are made distinct first; then leaves grow with the input. One of over BLOCK vectors is split
+median of the projections onto the difference of two sampled vectors, as deep as leaves of about
+LEAF_ROWS vectors need, DEEPEST levels at most. Every vector is indexed: it lies in one leaf of each
+tree. A query visits leaves of all trees in the order of one shared priority queue, keyed by the
+squared distances from the splitting planes that it would have to cross, added up, until it has seen
+SHARE of all leaves (more where those hold too few vectors); the candidates there are reranked by
+their exact distance.
+
+Rows are made distinct first. Beyond DEEPEST levels leaves grow with the input; one of over BLOCK vectors is split
 into blocks by a hash of id and vector, and its queries go to each block. A block's answer is at
 most k rows a query, of different ids, so pairs never become rows. A task holds one block.
 """
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import broadcast_if_small, stage
 
 TREES = 6
-DEPTH = 7
+SHALLOWEST, DEEPEST = 7, 10
+LEAF_ROWS = 128
 SHARE = 0.17
 SAMPLE = 16_384
 LEAF = 12
@@ -44,7 +46,11 @@ class Tree:
     leaves: int
 
 
-def build_tree(sample, rng, depth: int = DEPTH, leaf: int = LEAF) -> Tree:
+def depth_for(rows: int) -> int:
+    return min(DEEPEST, max(SHALLOWEST, math.ceil(math.log2(max(1, rows) / LEAF_ROWS))))
+
+
+def build_tree(sample, rng, depth: int = SHALLOWEST, leaf: int = LEAF) -> Tree:
     """sample: float64 matrix; a tree of at most 2 ** depth leaves."""
     import numpy as np
 
@@ -128,7 +134,7 @@ def visits(forest: list[Tree], point, budget: int, sizes: list[dict[int, int]],
             margin = margins[k][node]
             near, other = (tree.left[node], tree.right[node]) if margin <= 0 else (tree.right[node], tree.left[node])
             count += 1
-            heapq.heappush(queue, (max(far, abs(margin)), count, k, other))
+            heapq.heappush(queue, (far + margin * margin, count, k, other))
             node = near
         leaf = ~node
         found.append((k, leaf))
@@ -144,7 +150,7 @@ def usable(vector: Column) -> Column:
 
 def search(
     vectors: DataFrame, query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K,
-    trees: int = TREES, depth: int = DEPTH, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK, seed: int = 7,
+    trees: int = TREES, depth: int | None = None, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank int from 1, vec_id, score double: of every row for which `query` holds, the k
     nearest rows found (all, if there are fewer) by Euclidean distance in double precision, ties to
@@ -152,7 +158,9 @@ def search(
 
     A query's own id is no candidate. Rows with a null id and vectors that aren't usable() take no
     part, nor do vectors of another length than most have. Repeated rows (id and vector) count once;
-    of an id with several vectors, the nearest counts. An empty table gives an empty result.
+    of an id with several vectors, the nearest counts. Vectors of any length fit; a task holds a
+    block of them. Other columns, whatever their names, are not read. An empty table gives an empty
+    result. depth: of the trees, by default from the number of rows.
     """
     import numpy as np
     import pyarrow as pa
@@ -163,6 +171,7 @@ def search(
     ).filter(F.col("id").isNotNull() & usable(F.col("vector")))
     lengths = chosen.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     width = lengths["n"] if lengths else 0
+    depth = depth if depth is not None else depth_for(lengths["count"] if lengths else 0)
     distinct = stage(chosen.filter(F.size("vector") == width).groupBy("id", "vector").agg(F.max("query").alias("query")), "ann-vectors")
     several = distinct.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("vector").alias("least")).filter("n > 1").select("id", "least")
     if several.isEmpty():
@@ -178,7 +187,7 @@ def search(
     points = matrix(taken.column(0).combine_chunks()) if width else np.zeros((0, 0))
     rng = np.random.default_rng(seed)
     forest = [build_tree(points, rng, depth) for _ in range(trees)] if width else []
-    planted = spark.sparkContext.broadcast(forest)  # trees * 2 ** depth planes at most
+    planted = spark.sparkContext.broadcast(forest)  # trees * 2 ** DEEPEST planes at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, list[int]] = {}
