@@ -71,8 +71,9 @@ def trusted_ids(labels: DataFrame, bound: int = MAX_TRUSTED) -> DataFrame:
 def fit(corpus: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothing: float = SMOOTHING, max_trusted: int = MAX_TRUSTED) -> list[float]:
     """The log ratio of every bucket: `buckets` numbers, whatever the size of the corpus.
 
-    Counts cover all texts of corpus(doc_id, text); the broadcast side has at most max_trusted ids.
-    Without a trusted document, and in buckets that the corpus doesn't use, the ratio is 0.
+    Counts cover all texts of corpus(doc_id, text), nulls as empty ones, repeated rows each; the
+    broadcast side has at most max_trusted ids, and null ids are never trusted. Without a trusted
+    document (empty tables too), and in buckets that the corpus doesn't use, the ratio is 0.
     """
     marked = corpus.select("doc_id", "text").join(F.broadcast(trusted_ids(labels, max_trusted)), F.col("doc_id") == F.col("trusted_id"), "left")
     grams = (
@@ -98,34 +99,31 @@ def fit(corpus: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, smoothi
 
 def measure(docs: DataFrame, model: list[float], *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one more column, `quality`: struct of n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, score, kept. All columns of docs stay; a column of docs that is
-    called quality is replaced.
+    n_repeat_words, base_failed, score, kept. All columns of docs stay, whatever their names, but one
+    that is called quality is replaced.
 
     Null and empty texts: all counts 0, base_failed. A text of n words with n >= MIN_WORDS whose
     repeated windows cover at most MAX_REPEAT_PERCENT of its words is kept if its score reaches
-    the threshold.
+    the threshold. Very long texts are measured whole; their words' hashes are held in one row.
+    Repeated rows are measured alike; an empty table gives an empty result.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    buckets = len(model)
+    rest = [c for c in docs.columns if c != "quality"]
     table = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to one literal
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    n = F.size("__w").cast("long")
     total = lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(table, b))
-    step1 = docs.withColumn("__w", words(F.col(text_col)))
-    step2 = step1.withColumn("__h", _hashes(F.col("__w")))
-    step3 = step2.withColumn("__g", _ngrams(F.col("__h"), buckets)).withColumn("__lines", lines).withColumn("__repeat", repeat_words(F.col("__h")))
-    bad = (n < MIN_WORDS) | (F.col("__repeat") * 100 > n * MAX_REPEAT_PERCENT)
-    score = F.when(F.size("__g") > 0, total(F.col("__g")) / F.size("__g")).otherwise(F.lit(0.0))
+    held = docs.select(F.struct(*[docs[c] for c in rest]).alias("row"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    text = F.col("text")
+    hashed = held.withColumn("words", words(text)).withColumn("hashes", _hashes(F.col("words")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    step = hashed.withColumns({"grams": _ngrams(F.col("hashes"), len(model)), "lines": lines, "repeat": repeat_words(F.col("hashes"))})
+    step = step.withColumn("score", F.when(F.size("grams") > 0, total(F.col("grams")) / F.size("grams")).otherwise(F.lit(0.0)))
+    n = F.size("words").cast("long")
+    bad = (n < MIN_WORDS) | (F.col("repeat") * 100 > n * MAX_REPEAT_PERCENT)
     measured = F.struct(
         n.alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        bad.alias("base_failed"),
-        F.col("__score").alias("score"),
-        (~bad & (F.col("__score") >= threshold)).alias("kept"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.col("repeat").alias("n_repeat_words"), bad.alias("base_failed"), "score", (~bad & (F.col("score") >= threshold)).alias("kept"),
     )
-    rest = [c for c in docs.columns if c != "quality"]
     # a generator, so that a filter on the result isn't pushed below it, where it would compute everything again
-    return step3.withColumn("__score", score).select(*rest, F.explode(F.array(measured)).alias("quality"))
+    return step.select("row", F.explode(F.array(measured)).alias("quality")).select("row.*", "quality")
