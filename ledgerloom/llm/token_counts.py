@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup that shuffles no pre-token.
 
 Tier 1 is a compact hash table, broadcast: the token counts of the most frequent pre-tokens of a
-bounded sample of texts (TABLE_ENTRIES pre-tokens of SAMPLE_TEXTS texts at most). Tier 2 is a
+sample of texts (TABLE_ENTRIES pre-tokens; SAMPLE_TEXTS texts on average, drawn where they are read). Tier 2 is a
 bounded cache in every worker, filled by encoding what tier 1 misses. Both only save work: a count
 is the same whatever they hold.
 """
@@ -88,10 +88,17 @@ def _load(path: str) -> Counter:
 
 
 def frequent_pieces(docs: DataFrame, path: str, *, text_col: str = "text", texts: int = SAMPLE_TEXTS, entries: int = TABLE_ENTRIES) -> dict[str, int]:
-    """Token counts of the pre-tokens that occur most often in a bounded sample of texts."""
+    """Token counts of the pre-tokens that occur most often in a sample of about `texts` texts. Each
+    task sends at most `entries` counts, no texts."""
     import pyarrow as pa
 
-    sample = docs.select(docs[text_col].alias("text")).filter(F.length("text") > 0).limit(texts)
+    rows = docs.count()
+    if not rows:
+        return {}
+    sample = docs.select(docs[text_col].alias("text"))
+    if rows > texts:
+        sample = sample.sample(fraction=texts / rows, seed=7)
+    sample = sample.filter(F.length("text") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter as Tally
@@ -114,13 +121,15 @@ def frequent_pieces(docs: DataFrame, path: str, *, text_col: str = "text", texts
 def count_tokens(docs: DataFrame, path: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = LIMIT) -> DataFrame:
     """The columns `keep` of docs with n_bytes long (UTF-8), n_tokens long, over_limit boolean.
 
-    Null texts count as empty: 0 bytes, 0 tokens. Rows stay as they are; other columns are not read.
+    Null texts count as empty: 0 bytes, 0 tokens. Very long texts are counted whole, a pre-token at a
+    time. Rows stay as they are, repeated ones too; other columns, whatever their names, are not read
+    (`keep` may not name one of the three made here). An empty table gives an empty result.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(frequent_pieces(docs, path, text_col=text_col))
-    taken = docs.select(*keep, docs[text_col].alias("__text"))
+    taken = docs.select(*[docs[c] for c in keep], docs[text_col].alias("__text"))
     names = [*keep, "n_bytes", "n_tokens", "over_limit"]
     out = T.StructType([*taken.schema.fields[:-1], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
