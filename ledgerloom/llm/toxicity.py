@@ -30,6 +30,10 @@ L2 = 2e-4
 #: A toxic row counts as so many in the loss: toxic rows are few, and to miss one is worse.
 TOXIC_WEIGHT = 2.0
 FOLDS = 5
+#: Characters of a text that are hashed at once.
+BLOCK = 1 << 18
+#: Features of training rows that are worked on at once.
+CHUNK = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -42,19 +46,26 @@ class Model:
 
 
 def hashed(text: str | None):
-    """Hashed n-grams of a text in order, repeats included (numpy int64)."""
+    """The hashed n-grams of a text (numpy int64), each at least once: BLOCK characters at a time, and
+    once from each block."""
     import numpy as np
 
     spaced = f" {' '.join((text or '').lower().split())} "
-    codes = np.frombuffer(spaced.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out, h = [], codes
-    for n in range(2, max(SIZES) + 1):
-        if len(codes) < n:
-            break
-        h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
-        if n in SIZES:
-            out.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64))
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    found = []
+    for start in range(0, max(1, len(spaced) - max(SIZES) + 1), BLOCK):
+        codes = np.frombuffer(spaced[start : start + BLOCK + max(SIZES) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        out, h = [], codes
+        for n in range(2, max(SIZES) + 1):
+            if len(codes) < n:
+                break
+            h = h[:-1] * np.uint64(0x100000001B3) + codes[n - 1 :]
+            if n in SIZES:
+                out.append((((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64))
+        if out:
+            found.append(np.concatenate(out))
+    if len(found) > 1:
+        found = [np.unique(np.concatenate([np.unique(f) for f in found]))]
+    return found[0] if found else np.zeros(0, np.int64)
 
 
 def held_out(ident: Column) -> Column:
@@ -73,8 +84,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER) -> Model:
-    """Train on the bounded sample. Without rows of both labels the model scores all texts by the
-    share of toxic rows (smoothed)."""
+    """Train on the bounded sample. Without rows of both labels (empty tables too) the model scores all
+    texts by the share of toxic rows (smoothed). The driver holds two bytes a kept feature of a
+    sampled row, 147 MB at most."""
     import pyarrow as pa
 
     from ledgerloom.llm.common import drop_staged, stage
@@ -101,11 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_o
 
         return Model((), (), math.log((n1 + 0.5) / (n0 + 0.5)))
     counts = sample.select("text", "toxic").mapInArrow(tally, "feature long, p long, q long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    p, q = F.col("p") + 1.0, F.col("q") + 1.0
-    raw = F.log(p / (n1 + 2.0)) - F.log(q / (n0 + 2.0))
-    spread = F.sqrt(1.0 / p - 1.0 / (n1 + 2.0) + 1.0 / q - 1.0 / (n0 + 2.0))
-    ratio = F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - SHRINK * spread)
-    best = counts.select("feature", ratio.alias("ratio"), (F.abs(raw) / spread).alias("evidence")).filter("ratio <> 0")
+    best = ratios(counts, n1, n0).filter("ratio <> 0")
     chosen = {r["feature"]: r["ratio"] for r in best.orderBy(F.desc("evidence"), "feature").limit(KEPT_FEATURES).collect()}
     kept = sorted(chosen)
 
@@ -129,18 +137,44 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_o
     return Model(tuple(kept), tuple(float(c * chosen[f]) for c, f in zip(coefficients, kept, strict=True)), float(bias))
 
 
+def ratios(counts: DataFrame, n1: int, n0: int) -> DataFrame:
+    """(feature, ratio, evidence) of counts(feature, p, q), the toxic and other rows that have a
+    feature, of n1 and n0 rows: the log-count ratio, shrunk by SHRINK standard errors, and how many
+    of them it is."""
+    p, q = F.col("p") + 1.0, F.col("q") + 1.0
+    raw = F.log(p / (n1 + 2.0)) - F.log(q / (n0 + 2.0))
+    spread = F.sqrt(1.0 / p - 1.0 / (n1 + 2.0) + 1.0 / q - 1.0 / (n0 + 2.0))
+    ratio = F.signum(raw) * F.greatest(F.lit(0.0), F.abs(raw) - SHRINK * spread)
+    return counts.select("feature", ratio.alias("ratio"), (F.abs(raw) / spread).alias("evidence"))
+
+
 def _logistic(slots: list[bytes], toxic: list[int], ratios: list[float], l2: float = L2, steps: int = 400):
     """Coefficients and bias that minimise the mean log loss plus l2 / 2 * |w|^2 (Nesterov's method
     with a step from the largest eigenvalue, so no tuning)."""
     import numpy as np
 
-    found = [np.frombuffer(s, "<u2").astype(np.int64) for s in slots]
-    row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    col = np.concatenate(found) if found else np.zeros(0, np.int64)
-    value = np.asarray(ratios)[col] if len(col) else np.zeros(0)
-    n, m, y = len(found), len(ratios), np.asarray(toxic, float)
-    times = lambda w: np.bincount(row, value * w[col], minlength=n)
-    back = lambda g: np.bincount(col, value * g[row], minlength=m)
+    scale, y = np.asarray(ratios), np.asarray(toxic, float)
+    n, m = len(slots), len(ratios)
+    sizes = np.array([len(s) // 2 for s in slots], np.int64)
+    ends = np.cumsum(sizes)
+    # chunks of whole rows: (first row, sizes, slots as stored, two bytes each)
+    cuts = [0, *(np.searchsorted(ends, np.arange(CHUNK, int(ends[-1]) if n else 0, CHUNK)) + 1).tolist(), n]
+    parts = [(a, sizes[a:b], np.frombuffer(b"".join(slots[a:b]), "<u2")) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+    def times(w):
+        out, scaled = np.zeros(n), w * scale
+        for first, held, col in parts:
+            sums = np.concatenate(([0.0], np.cumsum(scaled[col])))
+            ends = np.cumsum(held)
+            out[first : first + len(held)] = sums[ends] - sums[ends - held]
+        return out
+
+    def back(g):
+        out = np.zeros(m)
+        for first, held, col in parts:
+            out += np.bincount(col, np.repeat(g[first : first + len(held)], held), minlength=m)
+        return out * scale
+
     v = np.ones(m)
     for _ in range(20):  # power method
         v = back(times(v))
@@ -162,7 +196,9 @@ def _logistic(slots: list[bytes], toxic: list[int], ratios: list[float], l2: flo
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """docs with a last column `toxicity` double from 0 to 1, of the whole text; a column of docs
-    that is called toxicity is replaced. Null and empty texts are scored as empty ones."""
+    that is called toxicity is replaced, others stay whatever their names. Null and empty texts are
+    scored as empty ones, very long ones BLOCK characters at a time, repeated rows alike; an empty
+    table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # KEPT_FEATURES weights at most
 
     @F.pandas_udf(T.DoubleType())
