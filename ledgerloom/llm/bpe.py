@@ -248,7 +248,9 @@ def load(path: str, pattern: str) -> ByteBPE:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
     """The columns `keep` of docs with n_tokens long and ids_le binary (ids as little-endian
     unsigned 32-bit integers). Null texts count as empty: 0 tokens, no bytes. Rows stay as they
-    are, repeated ones too; other columns of docs are not read.
+    are, repeated ones too; other columns of docs, whatever their names, are not read (`keep` may not
+    name one that is made here). Very long texts are encoded whole, a pre-token at a time. An empty
+    table gives an empty result.
 
     decoded=True adds decode()'s column in the same pass: one worker process a task instead of two
     that both hold the vocabulary."""
