@@ -43,13 +43,17 @@ def examples(turns: DataFrame) -> DataFrame:
 
     loss_start and loss_chars mark the trainable code points of text (from 0); both are null where
     nothing is trainable. Turns go by turn (null first), then role, then text, so ties and repeated
-    rows have an order. Null roles and texts count as empty; rows with a null conv_id make one
-    conversation. An empty table gives no examples.
+    rows have an order. Null roles and texts count as empty. Rows with a null conv_id aren't known to
+    belong together: each is a conversation of one turn. Very long texts and conversations are formatted whole: the output of a conversation
+    grows with the square of its turns. Other columns of turns, whatever their names, are not read. An
+    empty table gives no examples.
     """
     rows = turns.select(
         "conv_id", F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text"))).alias("turns"))
+    turn = F.struct(F.coalesce("turn", F.lit(-(2**63))).alias("turn"), "role", "text")
+    whole = rows.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.unionByName(rows.filter("conv_id IS NULL").select("conv_id", F.array(turn).alias("turns")))
     head = lambda t: F.concat(F.lit(START), _escape_role(t["role"]), F.lit("\n"))
     written = whole.select(
         "conv_id",
@@ -89,9 +93,10 @@ def read_turns(text: Column) -> Column:
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row a conversation of examples(): conv_id, turns array<struct<role, text>>, trained
     array<string> (each trainable text once, in order), formatted_chars long."""
-    last = F.max_by("text", "example")
-    pieces = F.collect_list(F.when(F.col("loss_start").isNotNull(), F.struct("example", masked(F.col("text"), F.col("loss_start"), F.col("loss_chars")).alias("text"))))
-    merged = formatted.groupBy("conv_id").agg(last.alias("last"), pieces.alias("pieces"), F.sum(F.length("text").cast("long")).alias("formatted_chars"))
+    last, chars = F.max_by("text", "example"), F.length("text").cast("long")
+    piece = F.when(F.col("loss_start").isNotNull(), F.struct("example", masked(F.col("text"), F.col("loss_start"), F.col("loss_chars")).alias("text")))
+    merged = formatted.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(last.alias("last"), F.collect_list(piece).alias("pieces"), F.sum(chars).alias("formatted_chars"))
+    merged = merged.unionByName(formatted.filter("conv_id IS NULL").select("conv_id", F.col("text").alias("last"), F.array_compact(F.array(piece)).alias("pieces"), chars.alias("formatted_chars")))
     return merged.select(
         "conv_id", read_turns(F.col("last")).alias("turns"), F.transform(F.array_sort("pieces"), lambda p: p["text"]).alias("trained"), "formatted_chars"
     )

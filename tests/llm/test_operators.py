@@ -3,6 +3,7 @@ ties, repeated rows and clashing columns, and on the smallest test tables."""
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import textwrap
@@ -178,10 +179,19 @@ def test_chat_round_trip(spark):
         mine = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
         assert [(t["role"], t["text"]) for t in back[conv]["turns"]] == [m[1:] for m in mine]
         assert list(back[conv]["trained"]) == [m[2] for m in mine if m[1] == "assistant"]
+    loose = spark.createDataFrame([(None, 1, "user", "hi", ""), (None, 0, "assistant", "yes", ""), (None, 0, "assistant", "yes", "")], turns.schema)
+    alone = sorted(([tuple(t) for t in r["turns"]], list(r["trained"])) for r in chat.read_back(chat.examples(loose)).collect())
+    assert alone == [([("assistant", "yes")], ["yes"])] * 2 + [([("user", "hi")], [])]
     texts = [r for r in made.collect() if r["conv_id"] == 3]
     assert len(texts) == len(nasty) + 1 and sum(r["loss_start"] is None for r in texts) == 1
 
 
+def test_chat_long_conversation(spark):
+    turns = spark.range(300).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.col("id").cast("string"), F.lit(40)).alias("text"))
+    back = chat.read_back(chat.examples(turns.repartition(3))).first()
+    assert [t["text"] for t in back["turns"]] == [str(k) * 40 for k in range(300)] and list(back["trained"]) == [str(k) * 40 for k in range(1, 300, 2)]
+
+
 # 4
 
 
@@ -319,6 +329,63 @@ def test_toxicity_odd_texts_and_labels(spark, docs):
     assert len(scored) == docs.count() and all(0 <= r["toxicity"] < 0.5 for r in scored)
 
 
+def test_toxicity_ratios_and_scores_equal_brute_force(spark):
+    """Features, ratios and scores against plain Python; only the coefficients are the fit's own."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+
+    def brute(text):
+        spaced, found = f" {' '.join(text.lower().split())} ", set()
+        for n in (3, 4, 5, 6):
+            for k in range(len(spaced) - n + 1):
+                h = 0
+                for c in spaced[k : k + n]:
+                    h = (h * 0x100000001B3 + ord(c)) % 2**64
+                found.add((((h ^ (h >> 29)) * 0x9E3779B97F4A7C15) % 2**64) >> 44)
+        return found
+
+    for text in list(texts.values())[:25]:
+        assert brute(text[:2000]) == set(toxicity.hashed(text[:2000]).tolist())
+    p, q = {}, {}
+    for i, y in toxic.items():
+        for f in set(toxicity.hashed(texts[i]).tolist()):
+            held = p if y else q
+            held[f] = held.get(f, 0) + 1
+    n1, n0 = sum(toxic.values()), sum(1 - y for y in toxic.values())
+    counts = spark.createDataFrame([(f, p.get(f, 0), q.get(f, 0)) for f in sorted(p.keys() | q.keys())][::97], "feature long, p long, q long")
+    for r in toxicity.ratios(counts, n1, n0).collect():
+        a, b = p.get(r["feature"], 0) + 1, q.get(r["feature"], 0) + 1
+        raw, spread = math.log(a / (n1 + 2)) - math.log(b / (n0 + 2)), math.sqrt(1 / a - 1 / (n1 + 2) + 1 / b - 1 / (n0 + 2))
+        assert r["ratio"] == pytest.approx(math.copysign(max(0.0, abs(raw) - 2 * spread), raw), abs=1e-9)
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.features, model.weights, strict=True))
+    for r in queries.op5_toxicity(spark, "/root/testdata/sf0.01").collect():
+        z = sum(weight.get(f, 0.0) for f in set(toxicity.hashed(texts[r["doc_id"]]).tolist())) + model.bias
+        want = 1 / (1 + math.exp(-max(-35, min(35, z))))
+        assert r["score"] == pytest.approx(want, abs=1e-9) and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_toxicity_long_text_in_blocks(monkeypatch):
+    text = " ".join(f"word{k % 700} Émile" for k in range(9000))
+    whole = set(toxicity.hashed(text).tolist())
+    monkeypatch.setattr(toxicity, "BLOCK", 1000)
+    assert set(toxicity.hashed(text).tolist()) == whole
+    for short in ("", "a", "ab", "x" * 1003, "x" * 996):
+        assert set(toxicity.hashed(short).tolist()) == {f for f in (lambda b: (monkeypatch.setattr(toxicity, "BLOCK", 1 << 18), toxicity.hashed(short).tolist(), monkeypatch.setattr(toxicity, "BLOCK", b))[1])(1000)}
+
+
+def test_logistic_in_chunks(monkeypatch):
+    rng = np.random.default_rng(2)
+    slots = [np.unique(rng.integers(0, 40, rng.integers(0, 12))).astype("<u2").tobytes() for _ in range(300)]
+    toxic, scale = [int(s[:2] < b"\x14\x00") for s in slots], rng.normal(size=40).tolist()
+    w, b = toxicity._logistic(slots, toxic, scale)
+    monkeypatch.setattr(toxicity, "CHUNK", 50)
+    w2, b2 = toxicity._logistic(slots, toxic, scale)
+    assert np.allclose(w, w2, atol=1e-9) and abs(b - b2) < 1e-9
+
+
 # 6
 
 
@@ -352,6 +419,34 @@ def test_warc_detects_damage(spark, tmp_path):
         warc.read(spark, folder).collect()
 
 
+def test_warc_loses_no_record_silently(spark, tmp_path):
+    folder = str(tmp_path / "a")
+    rows = [(1, "u", "x" * 1500), (2, "u", "x" * 1500), (3, "v", "y" * 1500), (4, "w", "small"), (4, "w", "small"), (None, "w", "small")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    records = [bytes(r["record"]) for r in warc.records(spark, folder).collect()]
+    ids = [re.search(rb"\r\nWARC-Record-ID: (<[^>]*>)\r\n", r)[1] for r in records]
+    assert len(set(ids)) == len(rows)
+    referred = re.search(rb"\r\nWARC-Refers-To: (<[^>]*>)\r\n", next(r for r in records if b"revisit" in r))[1]
+    assert referred in ids and b":2:" in referred
+    whole = spark.read.parquet(f"{folder}/payloads").collect()
+    for lost in ("x" * 1500, "small"):
+        spark.createDataFrame([r for r in whole if bytes(r["payload"]) != lost.encode()], "sha256 string, payload binary").write.mode("overwrite").parquet(f"{folder}/payloads")
+        with pytest.raises(Exception, match="has no payload"):
+            warc.read(spark, folder).collect()
+        with pytest.raises(Exception, match="has no payload"):
+            warc.records(spark, folder).collect()
+
+
+def test_warc_often_used_small_payload(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "OFTEN", 5)
+    folder = str(tmp_path / "a")
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "short").otherwise(F.col("id").cast("string")).alias("html"))
+    warc.write(pages, folder)
+    got = {r["page_id"]: r for r in warc.read(spark, folder).collect()}
+    for r in pages.collect():
+        assert (got[r["page_id"]]["record_type"], got[r["page_id"]]["payload_digest"]) == ("response", hashlib.sha1(r["html"].encode()).hexdigest())
+
+
 # 7
 
 
@@ -414,6 +509,29 @@ def test_ann_recall(spark, block):
     assert np.mean(hits) >= 0.9
 
 
+def rows_scored(x, share=ann.SHARE):
+    """Share of all rows that a query's visited leaves hold, in one tree or more, and evaluations of a
+    distance by rows: both 1 for brute force."""
+    rng = np.random.default_rng(7)
+    forest = [ann.build_tree(x[rng.permutation(len(x))[: ann.SAMPLE]], rng, ann.depth_for(len(x))) for _ in range(ann.TREES)]
+    leaves = [ann.leaves_of(t, x) for t in forest]
+    sizes = [dict(enumerate(np.bincount(leaf, minlength=t.leaves).tolist())) for leaf, t in zip(leaves, forest, strict=True)]
+    union, all_ = [], []
+    for q in x[::100]:
+        seen = ann.visits(forest, q, math.ceil(share * sum(t.leaves for t in forest)), sizes, 11)
+        held = np.array([np.isin(leaves[k], [leaf for t, leaf in seen if t == k]) for k in range(len(forest))])
+        union.append(held.any(axis=0).mean())
+        all_.append(held.sum() / len(x))
+    return float(np.mean(union)), float(np.mean(all_))
+
+
+def test_ann_rows_scored():
+    """What the README states: little is pruned among vectors without structure."""
+    x = np.random.default_rng(1).normal(size=(4000, 64))
+    some, evaluations = rows_scored(x / np.linalg.norm(x, axis=1)[:, None])
+    assert 0.55 < some < 0.75 and 0.9 < evaluations < 1.15
+
+
 # 8
 
 
@@ -442,6 +560,31 @@ def test_quality_counts(spark, docs):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
 
 
+def test_quality_fit_equals_brute_force(spark, docs):
+    labels = spark.createDataFrame([(25, 1), (26, 1), (27, 0), (20, 1), (None, 1)], "doc_id long, quality int")
+    model, counts = quality.fit(docs, labels, buckets=64), {False: [0] * 64, True: [0] * 64}
+    for r in docs.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        signed = [h - 2**64 if h >= 2**63 else h for h in hashes]
+        for b in [h % 64 for h in signed] + [spark_pair(a, b) % 64 for a, b in itertools.pairwise(signed)]:
+            counts[False][b] += 1
+            counts[True][b] += r["doc_id"] in (20, 25, 26)
+    raw, target = sum(counts[False]), sum(counts[True])
+    for b, got in enumerate(model):
+        p = counts[False][b] / raw
+        want = math.log((counts[True][b] + 0.1 * target * p) / (1.1 * target) / p) if p else 0.0
+        assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_quality_leaves_columns_alone(spark, docs):
+    names = ("__w", "__h", "__g", "__lines", "__repeat", "__score", "row", "words", "hashes", "grams", "lines", "repeat", "score", "kept")
+    clashing = docs.withColumns({n: F.lit("keep me") for n in names}).withColumn("quality", F.lit("replaced"))
+    out = quality.measure(clashing, [0.0] * 8)
+    assert set(out.columns) == set(clashing.columns) and out.filter(F.greatest(*names) != "keep me").count() == 0
+    assert out.select("quality.n_words", *docs.columns).count() == docs.count()
+
+
 def spark_pair(a, b):
     """xxhash64(a, b) of two longs: each hashed with the hash so far as its seed."""
     seed = 42
@@ -617,3 +760,49 @@ def test_similar_groups(spark, monkeypatch, block):
     close = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if brute_similarity(texts[i], texts[j]) >= 0.8]
     # the fingerprints are a filter: on check_s one of the two is 7 bits or less apart in 98 % of such pairs
     assert sum(want[i] == want[j] for i, j in close) >= 0.97 * len(close)
+
+
+# what the queries return
+
+
+def test_bpe_and_counts_of_the_queries(spark):
+    from tokenizers import Tokenizer
+
+    library, counter = tik(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = {i: library.encode_ordinary(t) for i, t in texts.items()}
+    want = {i: (len(v), hashlib.sha256(np.array(v, "<u4").tobytes()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest()) for i, v in ids.items()}
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in queries.op2_bpe(spark, SF).collect()} == want
+    sizes = {i: len(counter.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in queries.op9_token_counts(spark, SF).collect()}
+    assert got == {i: (len(texts[i].encode()), n, n > 1024) for i, n in sizes.items()}
+
+
+def test_simhash_of_the_query(spark):
+    fp = {r["doc_id"]: brute_fingerprint(r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    roots, least = brute_components(set(fp.values())), {}
+    for i, f in fp.items():
+        least[roots[f]] = min(i, least.get(roots[f], i))
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in queries.op10_simhash(spark, SF).collect()}
+    assert got == {i: (f"{f:016x}", least[roots[f]]) for i, f in fp.items()}
+
+
+def test_ann_of_the_query(spark):
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect() if r["embedding"]}
+    got = queries.op7_ann(spark, SF).collect()
+    assert {r["query_id"] for r in got} == {i for i in rows if i % 100 == 0}
+    for q in {r["query_id"] for r in got}:
+        mine = sorted((r["rank"], r["score"], r["vec_id"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == list(range(1, min(10, len(rows) - 1) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        assert all(s == float(np.sqrt(((rows[v] - rows[q]) ** 2).sum())) and v != q for _, s, v in mine)
+
+
+def test_bpe_very_long_pre_token():
+    """Letters without a break, one pre-token: against the library as far as it goes, and a million."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    coder, text = bpe.ByteBPE(bpe.read_ranks(PATH), PATTERN), letters(30_000)
+    assert coder.encode(text) == tik().encode_ordinary(text)
+    text = letters(1_000_000)
+    ids = coder.encode(text)
+    assert coder.decode(ids) == text.encode() and len(ids) < 600_000
