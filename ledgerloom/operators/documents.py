@@ -30,7 +30,8 @@ _NUMBER = re.compile(r"^\s*[-+]?\d+(?:\.\d+)?\s*$")
 @dataclass
 class ChildTable:
     """formula: the column with formula text. output: the column that its value goes to. fields:
-    more columns that hold formula text, each replaced by its value. order: the rows' order."""
+    more columns that hold formula text, each replaced by its value. order: the rows' order. id: the
+    column by which other texts read a row's value, as prefix + id (DocumentEngine.graph)."""
 
     name: str
     formula: str | None = None
@@ -38,6 +39,8 @@ class ChildTable:
     fields: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
     computed: Mapping[str, str] = field(default_factory=dict)
+    id: str | None = None
+    prefix: str = ""
 
 
 @dataclass
@@ -103,8 +106,9 @@ class DocumentEngine:
         return rows.withColumn(out, value if branches is None else branches.otherwise(value))
 
     def apply(self, headers: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """(headers with formulas, child tables with values). First the rows, over their own and the
-        header's columns; then the lists of each document; then the header formulas."""
+        """(headers with formulas, child tables with values). First the header formulas that rest on
+        no child table; then the rows, over their own columns, the header's and those formulas; then
+        the lists of each document; then all header formulas."""
         wide, out = self._lists(headers, children)
         done = self._engine(self.header).apply(wide)
         return done.drop(*[t.name for t in self.tables]), out
@@ -112,12 +116,14 @@ class DocumentEngine:
     def _lists(self, headers: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
         """(headers with each child table as a list, child tables with values)."""
         out: dict[str, DataFrame] = {}
-        wide = headers
+        wide, engine, names = headers, self._engine(self.header), {t.name for t in self.tables}
+        early = [n for n in engine.topo_order if not names & {r for m in (n, *engine.dag.ancestors(n)) for r in engine.reads[m]}]
+        seen = engine.apply(headers, only=early) if early else headers
         for t in self.tables:
             rows = children[t.name]
-            shared = [c for c in headers.columns if c not in rows.columns and c != self.key]
+            shared = [c for c in seen.columns if c not in rows.columns and c != self.key]
             if shared:
-                side = headers.select(F.col(self.key).alias("__k"), *shared)
+                side = seen.select(F.col(self.key).alias("__k"), *[F.col(f"`{c}`") for c in shared])
                 rows = rows.join(side, rows[self.parent] == F.col("__k"), "left").drop("__k")
             for f in t.fields:
                 rows = self.evaluate_text(rows, f, f)
@@ -132,6 +138,24 @@ class DocumentEngine:
             wide = wide.join(listed, wide[self.key] == F.col("__p"), "left").drop("__p")
         return wide, out
 
+    def graph(self, headers: DataFrame, children: Mapping[str, DataFrame], default: float = 0.0) -> DataFrame:
+        """(doc_id, name, value): one graph a document, of its header formulas and of the formula
+        texts of the rows that have an id, named prefix + id. A text reads its row's own columns
+        first, then rows and header formulas by name, then numeric header columns. Rows without an
+        id or a text take no part. For texts that read other rows; others go through apply()."""
+        parts = [headers.select(F.col(self.key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f["name"]).alias("name"), F.lit(str(f["formula"])).alias("text")) for f in self._listed()])).alias("c")).select("doc_id", "c.*", F.lit(None).cast("string").alias("own"))] if self._listed() else []
+        for t in self.tables:
+            if not t.formula or not t.id:
+                continue
+            rows = children[t.name]
+            plain = [c for c, k in rows.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double", "string", "boolean") and c != t.formula]
+            text = F.trim(F.col(t.formula).cast("string"))
+            parts.append(rows.filter(F.col(t.id).isNotNull() & (text != "")).select(F.col(self.parent).alias("doc_id"), F.concat(F.lit(t.prefix), F.col(t.id).cast("string")).alias("name"), text.alias("text"), F.to_json(F.struct(*plain)).alias("own")))
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return evaluate_cells(every, headers, [], self.key, default)
+
     # --- tooling
 
     def validate(self, children: Mapping[str, DataFrame] | None = None) -> dict[str, parser.ValidationResult]:
@@ -219,7 +243,8 @@ def scoped(text: str, tables: list[str]) -> str:
 
 def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str], key: str = "doc_id", default: float = 0.0) -> DataFrame:
     """(doc_id, name, value): every document's own graph of cells, which may read each other and the
-    document's scalars (numeric columns of `scalars`).
+    document's scalars (numeric columns of `scalars`), and first of all the values in the cell's own
+    JSON object, where there is a column `own`.
 
     Graphs differ by document, so a document's cells are brought into one list and evaluated, a
     batch of documents at a time, by an interpreter of the checked syntax tree; Python's eval is never used. Cells
@@ -227,7 +252,8 @@ def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str],
     """
     numeric = [c for c, t in scalars.dtypes if c != key and t in ("int", "bigint", "double", "float", "smallint")]
     packed = scalars.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in numeric])).alias("scalars"))
-    listed = cell_rows.groupBy("doc_id").agg(F.collect_list(F.struct("name", "text")).alias("cells"))
+    own = F.col("own") if "own" in cell_rows.columns else F.lit(None).cast("string")
+    listed = cell_rows.groupBy("doc_id").agg(F.collect_list(F.struct("name", "text", own.alias("own"))).alias("cells"))
     joined = listed.join(packed, "doc_id", "left").select("doc_id", "cells", "scalars")
     evaluated = joined.select("doc_id", _evaluator(tables, default)("cells", "scalars").alias("v"))
     return evaluated.select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.name", "v.value")
@@ -238,7 +264,8 @@ def _evaluator(tables: list[str], default: float):
     def run(cells: pd.Series, scalars: pd.Series) -> pd.Series:
         import json
 
-        return pd.Series([_document({c["name"]: c["text"] for c in found}, json.loads(s) if isinstance(s, str) else {}, tables, default) for found, s in zip(cells, scalars, strict=True)])
+        held = lambda found: {c["name"]: json.loads(c["own"]) for c in found if c["own"]}
+        return pd.Series([_document({c["name"]: c["text"] for c in found}, json.loads(s) if isinstance(s, str) else {}, tables, default, held(found)) for found, s in zip(cells, scalars, strict=True)])
 
     return run
 
@@ -253,20 +280,20 @@ def _checked(text: str, tables: tuple[str, ...]):
         return None, frozenset()
 
 
-def _document(texts: dict[str, str], scalars: Mapping, tables: list[str], default: float) -> list[dict]:
+def _document(texts: dict[str, str], scalars: Mapping, tables: list[str], default: float, own: Mapping[str, Mapping]) -> list[dict]:
     """The values of one document's cells, in the order of their needs."""
     from ledgerloom.expr.interpret import evaluate
 
     env = {k: v for k, v in scalars.items() if v is not None}
     trees = {n: _checked(t, tuple(tables)) for n, t in texts.items()}
-    reads = {n: names & texts.keys() for n, (_, names) in trees.items()}
+    reads = {n: (names & texts.keys()) - own.get(n, {}).keys() for n, (_, names) in trees.items()}
     values: dict[str, float] = {}
     waiting = set(texts)
     while ready := sorted(n for n in waiting if not reads[n] & waiting):
         seen = env | values
         for n in ready:
             try:
-                values[n] = float(evaluate(trees[n][0], seen)) if trees[n][0] is not None else default
+                values[n] = float(evaluate(trees[n][0], seen | own[n] if n in own else seen)) if trees[n][0] is not None else default
             except (FormulaError, ArithmeticError, TypeError, ValueError, KeyError):
                 values[n] = default
         waiting -= set(ready)

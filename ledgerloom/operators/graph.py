@@ -20,6 +20,9 @@ MAX_ROUNDS = 10_000
 LARGE = 15
 #: Up to so many nodes, and edges, a graph is small enough for the driver.
 DRIVER_EDGES = 50_000
+#: A component of up to so many nodes is solved as a dense matrix, a larger one by sparse elimination,
+#: of which at most FILL coefficients are held.
+DENSE, FILL = 1_000, 4_000_000
 
 
 def _small_graph(ids: DataFrame, edges: DataFrame) -> tuple[list, dict] | None:
@@ -86,11 +89,13 @@ def _small_scc(needs: dict) -> list[tuple]:
 
 
 def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder name under spark.checkpoint.dir (a temporary folder where none is set, as in
-    tests), deleted when the session ends."""
+    """A new folder name under spark.checkpoint.dir (a temporary folder where none is set in local
+    mode, as in tests; an error on a cluster), deleted when the session ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            if not spark.sparkContext._jsc.sc().isLocal():
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             import tempfile
 
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
@@ -223,15 +228,19 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     """(id, x, method, scc, warning): x = b + sum over dependencies of coeff * x.
 
     Components are solved in the order of the condensed graph, a level a round: single nodes
-    directly, cycles by elimination with partial pivoting; a singular system by Gauss-Seidel, or b
-    if that diverges. A null b is 0. clamp: no x is below 0. A component is solved by one task.
+    directly, cycles by elimination with partial pivoting (over DENSE nodes: sparse elimination); a
+    singular system, or one that fills up under sparse elimination, by Gauss-Seidel, or b if that
+    diverges. A null b or coeff is 0; of a repeated id the greatest b counts, coeffs of a repeated
+    edge are added; null ids, and edges from or to unknown nodes, don't count. clamp: no x is below
+    0. A component is solved by one task.
     """
-    if small := _small_system(nodes, edges, b, coeff):
+    nodes = nodes.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).alias("b"))
+    edges = edges.filter("id IS NOT NULL AND dep_id IS NOT NULL").groupBy("id", "dep_id").agg(F.sum(F.coalesce(F.col(coeff).cast("double"), F.lit(0.0))).alias("coeff"))
+    if small := _small_system(nodes, edges):
         return _solve_small(nodes, *small, clamp, epsilon, iterations, tolerance)
-    comp = _staged(scc(nodes, edges))
-    base = nodes.select("id", F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias("b"))
+    comp, base = _staged(scc(nodes, edges)), nodes
     known = comp.withColumnRenamed("id", "dep_id").withColumnRenamed("scc", "dep_scc")
-    links = _staged(edges.select("id", "dep_id", F.col(coeff).cast("double").alias("coeff")).join(comp, "id").join(known, "dep_id").groupBy("id", "dep_id", "scc", "dep_scc").agg(F.sum("coeff").alias("coeff")))
+    links = _staged(edges.join(comp, "id").join(known, "dep_id").select("id", "dep_id", "scc", "dep_scc", "coeff"))
     condensed = links.filter("scc <> dep_scc").select(F.col("scc").alias("id"), F.col("dep_scc").alias("dep_id"))
     level = _staged(levels(comp.select(F.col("scc").alias("id")), condensed).withColumnRenamed("id", "scc"))
     sized = comp.join(level, "scc").join(base, "id")
@@ -255,15 +264,15 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     return solved if solved is not None else base.select("id", F.col("b").alias("x"), F.lit("direct").alias("method"), F.col("id").alias("scc"), F.lit(None).cast("string").alias("warning"))
 
 
-def _small_system(nodes: DataFrame, edges: DataFrame, b: str, coeff: str) -> tuple[dict, dict] | None:
+def _small_system(nodes: DataFrame, edges: DataFrame) -> tuple[dict, dict] | None:
     """b of each node and the coefficients of its dependencies, if a count shows that both are few."""
     if nodes.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES or edges.limit(DRIVER_EDGES + 1).count() > DRIVER_EDGES:
         return None
-    base = {r["id"]: r["b"] for r in nodes.select("id", F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias("b")).collect()}
+    base = {r["id"]: r["b"] for r in nodes.collect()}
     weights: dict = {n: {} for n in base}
-    for r in edges.select("id", "dep_id", F.col(coeff).cast("double").alias("c")).collect():
+    for r in edges.collect():
         if r["id"] in base and r["dep_id"] in base:
-            weights[r["id"]][r["dep_id"]] = weights[r["id"]].get(r["dep_id"], 0.0) + r["c"]
+            weights[r["id"]][r["dep_id"]] = r["coeff"]
     return base, weights
 
 
@@ -296,22 +305,30 @@ def _solved_cycle(ids: list, eff, inside: list, clamp: bool, epsilon: float, ite
 
     place = {v: k for k, v in enumerate(ids)}
     n = len(ids)
-    a, v = np.zeros((n, n)), np.asarray(eff, float)
+    v = np.asarray(eff, float)
+    links: list[dict] = [{} for _ in range(n)]
     for i, pairs in enumerate(inside):
         for dep, coeff in pairs:
-            a[i, place[dep]] += coeff
+            links[i][place[dep]] = links[i].get(place[dep], 0.0) + coeff
     warning = f"component of {n} nodes" if n > LARGE else None
-    m = np.eye(n) - a
-    if n and np.linalg.cond(m) < 1 / epsilon:
-        x, method = np.linalg.solve(m, v), "gaussian"
+    x = None
+    if n > DENSE:
+        x, method = _eliminated(links, v, epsilon), "gaussian"
     else:
+        m = np.eye(n)
+        for i, row in enumerate(links):
+            for j, c in row.items():
+                m[i, j] -= c
+        if n and np.linalg.cond(m) < 1 / epsilon:
+            x, method = np.linalg.solve(m, v), "gaussian"
+    if x is None:
         x, method, warning = v.copy(), "gauss_seidel", "singular system"
         limit = 100 * max(1.0, float(np.abs(v).max(initial=0)))
         for _ in range(iterations):
             before = x.copy()
             for i in range(n):
-                rest = a[i] @ x - a[i, i] * x[i]
-                x[i] = (v[i] + rest) / (1 - a[i, i]) if abs(1 - a[i, i]) > epsilon else v[i] + rest
+                rest, own = sum(c * x[j] for j, c in links[i].items() if j != i), 1 - links[i].get(i, 0.0)
+                x[i] = (v[i] + rest) / own if abs(own) > epsilon else v[i] + rest
             if np.abs(x).max() > limit:
                 x, method, warning = v.copy(), "b", "diverged"
                 break
@@ -320,6 +337,52 @@ def _solved_cycle(ids: list, eff, inside: list, clamp: bool, epsilon: float, ite
     return (np.maximum(x, 0.0) if clamp else x), method, warning
 
 
+def _eliminated(links: list[dict], v, epsilon: float):
+    """x = v + links x, by elimination of the node with the fewest open coefficients first; None if a
+    pivot vanishes or over FILL coefficients come up."""
+    import heapq
+
+    import numpy as np
+
+    n, x = len(links), np.array(v, float)
+    rows = [{j: -c for j, c in row.items()} for row in links]
+    users: list[set] = [set() for _ in range(n)]
+    for i, row in enumerate(rows):
+        row[i] = row.get(i, 0.0) + 1.0
+        for j in row:
+            users[j].add(i)
+    cost = lambda k: (len(rows[k]) - 1) * (len(users[k]) - 1)
+    heap, order, done, held = [(cost(k), k) for k in range(n)], [], [False] * n, sum(map(len, rows))
+    heapq.heapify(heap)
+    while heap:
+        guess, k = heapq.heappop(heap)
+        if done[k]:
+            continue
+        if guess < cost(k):
+            heapq.heappush(heap, (cost(k), k))
+            continue
+        pivot = rows[k].get(k, 0.0)
+        if abs(pivot) <= epsilon or held > FILL:
+            return None
+        done[k] = True
+        order.append(k)
+        for j in rows[k]:
+            users[j].discard(k)
+        for i in users[k]:
+            factor = rows[i].pop(k) / pivot
+            held -= 1
+            for j, c in rows[k].items():
+                if j != k:
+                    held += j not in rows[i]
+                    rows[i][j] = rows[i].get(j, 0.0) - factor * c
+                    users[j].add(i)
+            x[i] -= factor * x[k]
+            heapq.heappush(heap, (cost(i), i))
+    for k in reversed(order):
+        x[k] = (x[k] - sum(c * x[j] for j, c in rows[k].items() if j != k)) / rows[k][k]
+    return x
+
+
 def _cycle_solver(clamp: bool, epsilon: float, iterations: int, tolerance: float):
     def solve(pdf):
         import pandas as pd

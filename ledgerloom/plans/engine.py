@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.errors import ArgumentError, BudgetError, FormulaError, LimitError, UnknownVariableError
+from ledgerloom.errors import ArgumentError, BudgetError, FormulaError, LimitError, StaleContextError, UnknownVariableError
 from ledgerloom.expr import parser
 from ledgerloom.expr import values as V
 from ledgerloom.expr.compiler import Compiler
@@ -84,6 +84,15 @@ class Compiled:
     zero: Column | None
 
 
+@dataclass(frozen=True)
+class IncrementalContext:
+    """A result of apply() with its inputs, one row a key, and the formulas that it came from."""
+
+    data: DataFrame
+    key: str
+    engine_hash: str
+
+
 @dataclass
 class FormulaEngine:
     """formulas: {"name", "formula", optional "bucket" and "group"}, or a mapping of name to text.
@@ -346,20 +355,50 @@ class FormulaEngine:
         ]
         return out.select(key, F.explode(F.array(*rows)).alias("s")).select(key, "s.*")
 
-    def apply_incremental(self, before: DataFrame, changes: DataFrame, key: str, *, stats: bool = False):
+    def create_context(self, df: DataFrame, key: str) -> IncrementalContext:
+        """All formulas over df, for apply_changes()."""
+        return IncrementalContext(self.apply(df), key, self.hash)
+
+    def apply_changes(self, context: IncrementalContext, changes: DataFrame, *, order_by: str | None = None) -> IncrementalContext:
+        """The context after changes (see apply_incremental). StaleContextError if it came from other
+        formulas. Plans grow with each call: write the data out between many."""
+        if context.engine_hash != self.hash:
+            raise StaleContextError("the context comes from other formulas; create a new one")
+        return IncrementalContext(self.apply_incremental(context.data, changes, context.key, order_by=order_by), context.key, self.hash)
+
+    def recalculate(self, context: IncrementalContext, df: DataFrame | None = None) -> IncrementalContext:
+        """A context of these formulas over df, or over the inputs that the context holds."""
+        inputs = df if df is not None else context.data.select(*[F.col(f"`{c}`") for c in context.data.columns if c not in self.texts])
+        return self.create_context(inputs, context.key)
+
+    def apply_incremental(self, before: DataFrame, changes: DataFrame, key: str, *, stats: bool = False, order_by: str | None = None):
         """before: a result of apply() with its inputs; changes: key and the changed input columns.
         Rows without a change keep their values; in the others only formulas downstream of the
-        changed columns are computed again. stats=True: (DataFrame, counts known without a job)."""
-        changed = [c for c in changes.columns if c != key]
+        changed columns are computed again. A key that before doesn't have becomes a row of its own,
+        with all formulas; its other inputs are null, or their InputField's default. Of several
+        changes of a key the last by the column order_by counts; without order_by they stop the job.
+        Null keys are one key. stats=True: (DataFrame, counts known without a job)."""
+        changed = [c for c in changes.columns if c not in (key, order_by)]
         hit = [n for n in self.topo_order if n in self.affected(*changed)]
+        values = F.struct(*[F.col(f"`{c}`") for c in changed])
+        one = changes.groupBy(key).agg((F.max_by(values, F.struct(order_by, values)) if order_by else F.first(values)).alias("__c"), F.count(F.lit(1)).alias("__n"))
+        if not order_by:
+            one = one.filter(F.when(F.col("__n") > 1, F.raise_error(F.lit(f"several changes of one {key}: name the column of their order")).cast("boolean")).otherwise(F.lit(True)))
+        changes = one.select(F.col(f"`{key}`"), *[F.col(f"__c.`{c}`").alias(c) for c in changed])
         renamed = changes.select(F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__new_{c}") for c in changed])
-        joined = before.join(renamed, before[key] == F.col("__key"), "left")
+        joined = before.join(renamed, before[key].eqNullSafe(F.col("__key")), "left")
         inputs = {c: F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)) for c in changed}
         base = joined.withColumns(inputs).withColumns({f"__old_{n}": F.col(f"`{n}`") for n in hit}).drop(*hit)
         part = FormulaEngine([f for f in self.formulas if f["name"] in hit], **self._options())
         fresh = part.apply(base)
         kept = fresh.withColumns({n: F.when(F.col("__hit"), F.col(f"`{n}`")).otherwise(F.col(f"__old_{n}")) for n in hit})
         result = kept.select(*[F.col(f"`{c}`") for c in before.columns])
+        known = before.select(F.col(f"`{key}`").alias("__key"))
+        added = changes.join(known, changes[key].eqNullSafe(F.col("__key")), "left_anti")
+        defaults = {f.name: f.default for f in self.input_fields}
+        blank = {f.name: F.lit(defaults.get(f.name)).cast(f.dataType) for f in before.schema.fields if f.name not in {*self.texts, *changes.columns}}
+        created = self.apply(added.withColumns(blank) if blank else added)
+        result = result.unionByName(created.select(*[F.col(f"`{c}`").cast(before.schema[c].dataType).alias(c) for c in before.columns]))
         counts = {"total": len(self.texts), "recalculated": len(hit), "skipped": len(self.texts) - len(hit), "affected": hit, "changed": changed}
         return (result, counts) if stats else result
 

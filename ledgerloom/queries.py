@@ -498,6 +498,69 @@ def q_document_cells_whole(spark, d):
     return documents.evaluate_cells(rows, scalars, ["items"])
 
 
+@query("""WITH l AS (SELECT l_orderkey, l_quantity * (2 + o_custkey % 3) AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+o AS (SELECT o_orderkey, 2 + o_custkey % 3 AS rate FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+f AS (SELECT l_orderkey, x FROM l WHERE n = 1)
+SELECT l_orderkey AS doc_id, 'L' || n AS name, CAST(sum(x) OVER (PARTITION BY l_orderkey ORDER BY n) AS DOUBLE) AS value FROM l UNION ALL SELECT o_orderkey, 'rate', CAST(rate AS DOUBLE) FROM o UNION ALL SELECT l_orderkey, 'net', x + 1 FROM f UNION ALL SELECT l_orderkey, 'gross', (x + 1) * 2 FROM f""")
+def q_document_cross_refs(spark, d):
+    """Rows read header formulas and the row before; header formulas read a row."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    lines = table(spark, d, "lineitem").withColumn("n", place)
+    text = F.concat(F.lit("l_quantity * rate"), F.when(F.col("n") > 1, F.concat(F.lit(" + L"), (F.col("n") - 1).cast("string"))).otherwise(""))
+    rows = lines.select(F.col("l_orderkey").alias("o_orderkey"), "n", "l_quantity", text.alias("text"))
+    headers = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(rows.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
+    engine = documents.DocumentEngine({"gross": "net * 2", "net": "L1 + 1", "rate": "2 + o_custkey % 3"}, (documents.ChildTable("items", "text", id="n", prefix="L"),), key="o_orderkey", parent="o_orderkey")
+    return engine.graph(headers, {"items": rows})
+
+
+@query("""SELECT o_orderkey, coalesce(sum(l_quantity * (2 + o_custkey % 3)), 0) AS total FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q_document_header_reads(spark, d):
+    """Rows read a header formula, a header formula reads the rows."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_quantity", F.lit("l_quantity * rate").alias("text"))
+    engine = documents.DocumentEngine({"total": "sum(items.*.amount)", "rate": "2 + o_custkey % 3"}, (documents.ChildTable("items", "text", order=("l_linenumber",)),), key="o_orderkey", parent="o_orderkey")
+    done, _ = engine.apply(table(spark, d, "orders").select("o_orderkey", "o_custkey"), {"items": rows})
+    return done.select("o_orderkey", "total")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_quantity, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_suppkey, l_partkey, l_linenumber, l_extendedprice) AS n FROM lineitem WHERE l_quantity >= 5)
+SELECT o_orderkey, sum(l_quantity) FILTER (WHERE n <= 2) AS top2, max(l_suppkey) FILTER (WHERE n = 1) AS best, coalesce(count(n) FILTER (WHERE n <= 2), 0)::BIGINT AS n FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def q_item_rows_limit(spark, d):
+    """Ordered and limited rows of a query, within each document."""
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "parent")
+    base = {"rows_source": "doctype_query", "doctype": "lineitem", "filters": [["l_quantity", ">=", 5]], "order_by": "l_quantity desc, l_suppkey, l_partkey asc, l_linenumber, l_extendedprice", "limit": 2}
+    bs = [
+        Binding("top2", "aggregate_from_items", base | {"value_field": "l_quantity", "aggregate": "sum"}),
+        Binding("best", "aggregate_from_items", base | {"value_field": "l_suppkey", "aggregate": "first"}),
+        Binding("n", "aggregate_from_items", base | {"aggregate": "count"}),
+    ]
+    r = Resolver(Catalog(spark, {"lineitem": lines}), "o_orderkey", {}, "parent")
+    return r.resolve(table(spark, d, "orders"), bs).select("o_orderkey", "top2", "best", "n")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN o_totalprice + 2 ELSE o_totalprice END AS p FROM orders UNION ALL SELECT -1 - o_orderkey, NULL, o_totalprice + 2 FROM orders WHERE o_orderkey % 10 = 0)
+SELECT o_orderkey, p * 2 AS a, coalesce(p * 2 + o_custkey, 0) AS b FROM o""")
+def q_incremental_context(spark, d):
+    """Two changes of a key, the later one counts; keys that are new become rows."""
+    e = engine({"a": "o_totalprice * 2", "b": "a + o_custkey"})
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("long").alias("o_custkey"), "o_totalprice")
+    some, steps = o.filter("o_orderkey % 10 = 0"), F.explode(F.array(F.lit(1), F.lit(2))).alias("step")
+    old = some.select("o_orderkey", "o_totalprice", steps)
+    new = some.select((-1 - F.col("o_orderkey")).alias("o_orderkey"), "o_totalprice", steps)
+    changes = old.unionByName(new).withColumn("o_totalprice", F.col("o_totalprice") + F.col("step"))
+    return e.apply_changes(e.create_context(o, "o_orderkey"), changes, order_by="step").data.select("o_orderkey", "a", "b")
+
+
+@query("""WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_retailprice END AS b FROM part)
+SELECT a.id, round(a.b + CASE WHEN a.id % 2 = 0 AND o.id IS NOT NULL THEN 0.5::DOUBLE * o.b ELSE 0 END, 4) AS x FROM n a LEFT JOIN n o ON o.id = a.id - 1""")
+def q_solver_nulls(spark, d):
+    """Null b and coeff are 0; repeated nodes and edges, null ids and unknown ends are given, too."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_retailprice")).alias("b"))
+    half = p.filter("id % 2 = 0").select("id", (F.col("id") - 1).alias("dep_id"), F.lit(0.25).alias("coeff"))
+    nothing = p.select("id", (F.col("id") - 1).alias("dep_id"), F.lit(None).cast("double").alias("coeff"))
+    nodes = p.unionByName(p).unionByName(p.limit(1).select(F.lit(None).cast(dict(p.dtypes)["id"]).alias("id"), F.lit(1.0).alias("b")))
+    return graph.solve_linear(nodes, half.unionByName(half).unionByName(nothing)).select("id", F.round("x", 4).alias("x"))
+
+
 @query("""WITH d AS (SELECT p_partkey, CAST(p_size AS INTEGER) AS n, p_size // 10 AS t, p_size % 10 AS u, ['không', 'một', 'hai', 'ba', 'bốn', 'năm', 'sáu', 'bảy', 'tám', 'chín'] AS w FROM part),
 x AS (SELECT p_partkey, CASE WHEN n < 10 THEN w[n + 1] ELSE (CASE WHEN t = 1 THEN 'mười' ELSE w[t + 1] || ' mươi' END) || CASE WHEN u = 0 THEN '' WHEN u = 5 THEN ' lăm' WHEN u = 1 AND t > 1 THEN ' mốt' WHEN u = 4 AND t > 1 THEN ' tư' ELSE ' ' || w[u + 1] END END AS words FROM d)
 SELECT p_partkey, upper(words[1]) || words[2:] AS words FROM x""")

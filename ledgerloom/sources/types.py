@@ -241,14 +241,40 @@ def _item_rows(r: Resolver, df: DataFrame, c) -> tuple[DataFrame, Column]:
     raise BindingError(f"unknown rows_source {kind!r}")
 
 
+def _ranked(c) -> bool:
+    """Whether rows are put in an order, or only the first of them count."""
+    return c.get("rows_source") == "doctype_query" and bool(c.get("order_by") or int(c.get("limit") or 0) > 0)
+
+
 def _rows_print(c) -> tuple:
-    return tuple(_stable(c.get(k)) for k in ("rows_source", "rows_var", "child_table_field", "doctype", "snapshot_doctype", "snapshot_name", "snapshot_field", "rows_path", "rows_schema"))
+    keys = ["rows_source", "rows_var", "child_table_field", "doctype", "snapshot_doctype", "snapshot_name", "snapshot_field", "rows_path", "rows_schema"]
+    if _ranked(c):  # the limit counts rows that pass the filters
+        keys += ["order_by", "limit", "filters", "key_field", "key_value"]
+    return tuple(_stable(c.get(k)) for k in keys)
+
+
+def _sort_keys(c, names: list[str], ties: Column) -> list[Column]:
+    """What order_by names (asc: nulls first, desc: nulls last), then ties."""
+    keys = []
+    for part in str(c.get("order_by") or "").split(","):
+        name, _, way = part.strip().partition(" ")
+        if not name:
+            continue
+        name = name.strip("`")
+        if name not in names:
+            raise BindingError(f"order_by: unknown field {name!r}")
+        keys.append(F.col(f"`{name}`").desc() if way.strip().lower() == "desc" else F.col(f"`{name}`").asc())
+    return [*keys, ties]
 
 
 @register_source("aggregate_from_items", (), _rows_print, casts=True)
 def aggregate_from_items(r: Resolver, df: DataFrame, bs: list[Binding]) -> DataFrame:
     """Conditional aggregation: one pass over the rows for all bindings on them. Filters with
-    templates read the document, so the columns that they need travel with the rows."""
+    templates read the document, so the columns that they need travel with the rows.
+
+    rows_source doctype_query: order_by and limit hold within each document's filtered rows; a
+    value_field that `fields` leaves out has no value.
+    """
     rows, order = _item_rows(r, df, bs[0].config)
     templates = list(dict.fromkeys(v for b in bs for _, _, v in _filters(b) if fl.is_template(v)))
     if templates:
@@ -256,15 +282,28 @@ def aggregate_from_items(r: Resolver, df: DataFrame, bs: list[Binding]) -> DataF
         rows = rows.join(side, F.col("__p") == F.col("__d")).drop("__d")
     types = {f.name: f.dataType for f in rows.schema.fields}
 
-    def agg(b: Binding) -> Column:
+    def hits(b: Binding) -> Column:
         hit = F.lit(True)
         for name, op, v in _filters(b):
             right = F.col(f"__t{templates.index(v)}") if fl.is_template(v) else F.lit(v) if not isinstance(v, (list, tuple)) else F.lit(None)
             hit = hit & (fl.test(F.col(f"`{name}`"), op, right, v) if name in types else F.lit(False))
+        return hit
+
+    ranked = _ranked(bs[0].config)
+    if ranked:
+        place = F.row_number().over(Window.partitionBy("__p").orderBy(*_sort_keys(bs[0].config, rows.columns, order)))
+        rows, order = rows.filter(hits(bs[0])).withColumn("__o", place), F.col("__o")
+        if int(bs[0].config.get("limit") or 0) > 0:
+            rows = rows.filter(order <= int(bs[0].config["limit"]))
+
+    def agg(b: Binding) -> Column:
+        hit = F.lit(True) if ranked else hits(b)
         kind, name = b.config.get("aggregate") or "sum", b.config.get("value_field") or b.config.get("sum_field")
         if kind == "count":
             return F.count_if(hit)
         value = F.col(f"`{name}`") if kind in ("first", "last", "list") else _numeric(F.col(f"`{name}`"), types[name])
+        if b.config.get("rows_source") == "doctype_query" and b.config.get("fields") and name not in b.config["fields"]:
+            value = F.when(F.lit(False), value)
         return aggregate_of(kind, F.when(hit, value), order)
 
     found = rows.groupBy("__p").agg(*[agg(b).alias(f"__v_{b.variable}") for b in bs])

@@ -373,3 +373,75 @@ def test_linear_system_with_a_null(spark, monkeypatch, small, clamp):
     edges = spark.createDataFrame([(2, 1, 0.5), (3, 4, 0.5), (4, 3, 0.5)], "id long, dep_id long, coeff double")
     x = {r["id"]: r["x"] for r in graph.solve_linear(nodes, edges, clamp=clamp).collect()}
     assert x == {1: 4.0, 2: 2.0, 3: pytest.approx(4 / 3), 4: pytest.approx(8 / 3)}
+
+
+def test_incremental_keys_and_stale_contexts(spark):
+    from ledgerloom.errors import StaleContextError
+    from ledgerloom.plans.engine import FormulaEngine
+
+    e = FormulaEngine({"a": "x * 2", "b": "y + 1"})
+    context = e.create_context(spark.createDataFrame([(1, 1.0, 10.0), (None, 2.0, 20.0)], "k long, x double, y double"), "k")
+    once = e.apply_changes(context, spark.createDataFrame([(1, 5.0), (None, 6.0), (7, 8.0)], "k long, x double"))
+    assert sorted((r["k"] or 0, r["x"], r["a"], r["b"]) for r in once.data.collect()) == [(0, 6.0, 12.0, 21.0), (1, 5.0, 10.0, 11.0), (7, 8.0, 16.0, 0.0)]
+    twice = spark.createDataFrame([(1, 5.0, 2), (1, 9.0, 1)], "k long, x double, at int")
+    assert {r["k"]: r["a"] for r in e.apply_changes(context, twice, order_by="at").data.collect()}[1] == 10.0
+    with pytest.raises(Exception, match="several changes"):
+        e.apply_changes(context, twice.drop("at")).data.collect()
+    with pytest.raises(StaleContextError):
+        FormulaEngine({"a": "x * 3"}).apply_changes(context, twice.drop("at"))
+    assert {r["k"]: r["a"] for r in FormulaEngine({"a": "x * 3", "b": "y"}).recalculate(context).data.collect()}[1] == 3.0
+
+
+@pytest.mark.parametrize("edges_on_driver", [0, 50_000])
+def test_solver_nulls_and_repeats_at_any_size(spark, monkeypatch, edges_on_driver):
+    from ledgerloom.operators import graph
+
+    monkeypatch.setattr(graph, "DRIVER_EDGES", edges_on_driver)
+    nodes = spark.createDataFrame([(1, 4.0), (1, 2.0), (2, None), (3, 1.0), (None, 9.0)], "id long, b double")
+    edges = spark.createDataFrame([(2, 1, 0.25), (2, 1, 0.25), (3, 2, None), (3, 99, 1.0), (None, 1, 1.0)], "id long, dep_id long, coeff double")
+    assert {r["id"]: r["x"] for r in graph.solve_linear(nodes, edges).collect()} == {1: 4.0, 2: 2.0, 3: 1.0}
+
+
+def test_sparse_elimination_equals_dense(monkeypatch):
+    import numpy as np
+
+    from ledgerloom.operators import graph
+
+    rng, n = np.random.default_rng(3), 60
+    inside = [[((i + 1) % n, 0.4)] + [(int(j), 0.1) for j in rng.integers(0, n, 2)] for i in range(n)]
+    args = (list(range(n)), rng.random(n), inside, False, 1e-9, 50, 1e-6)
+    dense = graph._solved_cycle(*args)
+    monkeypatch.setattr(graph, "DENSE", 1)
+    sparse = graph._solved_cycle(*args)
+    assert dense[1] == sparse[1] == "gaussian" and np.allclose(dense[0], sparse[0])
+    ring = graph._solved_cycle(list(range(20_000)), np.ones(20_000), [[((i + 1) % 20_000, 0.5)] for i in range(20_000)], True, 1e-9, 50, 1e-6)
+    assert ring[1] == "gaussian" and np.allclose(ring[0], 2.0)
+    assert graph._solved_cycle([1, 2], [1.0, 1.0], [[(2, 1.0)], [(1, 1.0)]], True, 1e-9, 50, 1e-6)[1] != "gaussian"  # singular
+
+
+def test_item_rows_of_a_query_are_ordered_and_limited(spark):
+    from ledgerloom.sources.bindings import Binding, Resolver
+    from ledgerloom.sources.catalog import Catalog
+
+    rows = spark.createDataFrame([("d", 9, 9.0), ("d", 4, 4.0), ("d", 8, 8.0), ("e", None, 1.0), ("e", 2, 2.0)], "parent string, n int, v double")
+    base = {"rows_source": "doctype_query", "doctype": "line", "value_field": "v", "aggregate": "sum"}
+    bs = [
+        Binding("least", "aggregate_from_items", base | {"order_by": "n asc", "limit": 2}), Binding("most", "aggregate_from_items", base | {"order_by": "n desc", "limit": 1}),
+        Binding("every", "aggregate_from_items", base), Binding("hidden", "aggregate_from_items", base | {"fields": ["n"]}),
+        Binding("odd", "aggregate_from_items", base | {"order_by": "n", "limit": 1, "filters": [["n", ">", 4]]}),
+    ]
+    docs = spark.createDataFrame([("d",), ("e",)], "name string")
+    got = {r["name"]: (r["least"], r["most"], r["every"], r["hidden"], r["odd"]) for r in Resolver(Catalog(spark, {"line": rows}), "name").resolve(docs, bs).collect()}
+    assert got == {"d": (12.0, 9.0, 21.0, None, 8.0), "e": (3.0, 2.0, 3.0, None, None)}
+
+
+def test_rows_read_header_formulas_and_other_rows(spark):
+    from ledgerloom.operators.documents import ChildTable, DocumentEngine
+
+    headers = spark.createDataFrame([(1, 3.0), (2, None)], "doc_id long, rate double")
+    rows = spark.createDataFrame([(1, "a", 10.0, "rate2 * q"), (1, "b", 1.0, "R_a + gross + q"), (1, None, 5.0, "q"), (2, "a", 2.0, "R_b"), (2, "b", 2.0, "R_a")], "doc_id long, id string, q double, text string")
+    e = DocumentEngine({"rate2": "rate * 2", "gross": "R_a * 10"}, (ChildTable("items", "text", id="id", prefix="R_"),))
+    got = {(r["doc_id"], r["name"]): r["value"] for r in e.graph(headers, {"items": rows}).collect()}
+    assert got == {(1, "rate2"): 6.0, (1, "gross"): 600.0, (1, "R_a"): 60.0, (1, "R_b"): 661.0, (2, "rate2"): 0.0, (2, "gross"): 0.0, (2, "R_a"): 0.0, (2, "R_b"): 0.0}
+    _, out = DocumentEngine({"rate2": "rate * 2", "total": "sum(items.*.amount)"}, (ChildTable("items", "text"),)).apply(headers, {"items": rows.filter("id = 'a' AND doc_id = 1")})
+    assert out["items"].first()["amount"] == 60.0
