@@ -231,11 +231,11 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     directly, cycles by elimination with partial pivoting (over DENSE nodes: sparse elimination); a
     singular system, or one that fills up under sparse elimination, by Gauss-Seidel, or b if that
     diverges. A null b or coeff is 0; of a repeated id the greatest b counts, coeffs of a repeated
-    edge are added; null ids, and edges from or to unknown nodes, don't count. clamp: no x is below
-    0. A component is solved by one task.
+    edge are added; null ids, and edges from or to unknown nodes, don't count, nor do edges whose
+    coeffs add up to 0: no x rests on them. clamp: no x is below 0. A component is solved by one task.
     """
     nodes = nodes.filter("id IS NOT NULL").groupBy("id").agg(F.max(F.coalesce(F.col(b).cast("double"), F.lit(0.0))).alias("b"))
-    edges = edges.filter("id IS NOT NULL AND dep_id IS NOT NULL").groupBy("id", "dep_id").agg(F.sum(F.coalesce(F.col(coeff).cast("double"), F.lit(0.0))).alias("coeff"))
+    edges = edges.filter("id IS NOT NULL AND dep_id IS NOT NULL").groupBy("id", "dep_id").agg(F.sum(F.coalesce(F.col(coeff).cast("double"), F.lit(0.0))).alias("coeff")).filter("coeff <> 0")
     if small := _small_system(nodes, edges):
         return _solve_small(nodes, *small, clamp, epsilon, iterations, tolerance)
     comp, base = _staged(scc(nodes, edges)), nodes

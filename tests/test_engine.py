@@ -402,6 +402,18 @@ def test_solver_nulls_and_repeats_at_any_size(spark, monkeypatch, edges_on_drive
     assert {r["id"]: r["x"] for r in graph.solve_linear(nodes, edges).collect()} == {1: 4.0, 2: 2.0, 3: 1.0}
 
 
+@pytest.mark.parametrize("edges_on_driver", [0, 50_000])
+def test_solver_rests_on_no_edge_of_coefficient_zero(spark, monkeypatch, edges_on_driver):
+    from ledgerloom.operators import graph
+
+    monkeypatch.setattr(graph, "DRIVER_EDGES", edges_on_driver)
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 4)  # the chain of null coefficients is longer
+    nodes = spark.createDataFrame([(k, float(k)) for k in range(12)], "id long, b double")
+    edges = spark.createDataFrame([(k, (k - 1) % 12, None) for k in range(12)] + [(3, 2, 0.5), (7, 6, 0.5), (7, 6, -0.5)], "id long, dep_id long, coeff double")
+    got = {r["id"]: (r["x"], r["method"]) for r in graph.solve_linear(nodes, edges).collect()}
+    assert got == {k: (4.0 if k == 3 else float(k), "direct") for k in range(12)}
+
+
 def test_sparse_elimination_equals_dense(monkeypatch):
     import numpy as np
 
