@@ -115,37 +115,51 @@ def _staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _joined(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by shuffles: over many rounds, broadcasts add up at the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every
+
+
+def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+    """parts, or one for all where they would make a long plan."""
+    return parts if len(parts) < 50 else [_staged(_union(parts))]
+
+
 def clean_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     known = nodes.select("id").distinct()
     e = edges.select("id", "dep_id").filter("id <> dep_id").distinct()
-    return e.join(known, "id", "left_semi").join(known.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi").select("id", "dep_id")
+    return _joined(_joined(e, known, "id", "left_semi"), known.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi").select("id", "dep_id")
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the longest path below a node; nodes on or above a cycle have level -1.
 
     Peels off nodes without open dependencies, one level a round: each edge is read until its
-    dependency is placed.
+    dependency is placed. What is left goes to the driver once a count shows that it is small.
     """
     ids = nodes.select("id").distinct()
     left, open_ = _staged(clean_edges(nodes, edges)), _staged(ids)
-    if small := _small_graph(open_, left):
-        return nodes.sparkSession.createDataFrame(_small_levels(small[1]), f"id {dict(nodes.dtypes)['id']}, level int")
     placed: list[DataFrame] = []
-    for level in range(MAX_ROUNDS):
-        free = _staged(open_.join(left.select("id").distinct(), "id", "left_anti"))
+    for level in range(MAX_ROUNDS + 1):
+        if small := _small_graph(open_, left):
+            rows = [(n, k if k < 0 else level + k) for n, k in _small_levels(small[1])]
+            return _union([*placed, nodes.sparkSession.createDataFrame(rows, f"id {dict(nodes.dtypes)['id']}, level int")])
+        marked = _staged(_joined(open_, left.select("id", F.lit(True).alias("waits")).distinct(), "id", "left"))
+        free, open_ = marked.filter("waits IS NULL").select("id"), marked.filter("waits").select("id")
         if free.isEmpty():
             break
-        placed.append(free.withColumn("level", F.lit(level)))
-        open_ = _staged(open_.join(free, "id", "left_anti"))
-        left = _staged(left.join(free.withColumnRenamed("id", "dep_id"), "dep_id", "left_anti").select("id", "dep_id"))
+        placed = _compact([*placed, free.withColumn("level", F.lit(level))])
+        left = _staged(_joined(left, free.withColumnRenamed("id", "dep_id"), "dep_id", "left_anti").select("id", "dep_id"))
     else:
-        if not open_.join(left.select("id").distinct(), "id", "left_anti").isEmpty():
-            raise LimitError(f"levels: not settled after {MAX_ROUNDS} rounds")
-    rest = open_.withColumn("level", F.lit(-1))
-    for part in placed:
-        rest = rest.unionByName(part)
-    return rest
+        raise LimitError(f"levels: not settled after {MAX_ROUNDS} rounds")
+    return _union([*placed, open_.withColumn("level", F.lit(-1))])
 
 
 def topo_order(nodes: DataFrame, edges: DataFrame, order_by: str = "id") -> DataFrame:
@@ -175,46 +189,54 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = []
     for _ in range(MAX_ROUNDS):
         # trim: nodes without edges in or out are alone
-        while True:
-            both = live.select("id").distinct().join(live.select(F.col("dep_id").alias("id")).distinct(), "id", "left_semi")
-            trimmed = _staged(live.join(both, "id", "left_semi").join(both.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi").select("id", "dep_id"))
-            if trimmed.count() == live.count():
+        while (held := live.count()) > DRIVER_EDGES:
+            both = _joined(live.select("id").distinct(), live.select(F.col("dep_id").alias("id")).distinct(), "id", "left_semi")
+            trimmed = _staged(_joined(_joined(live, both, "id", "left_semi"), both.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi").select("id", "dep_id"))
+            if trimmed.count() == held:
                 break
             live = trimmed
-        if live.isEmpty():
+        if held <= DRIVER_EDGES:
+            done.append(_few_components(live))
             break
         colour = _staged(live.select(F.explode(F.array("id", "dep_id")).alias("id")).distinct().withColumn("c", F.col("id")))
         while True:
-            sent = live.join(colour.withColumnRenamed("id", "dep_id"), "dep_id").groupBy("id").agg(F.max("c").alias("m"))
-            new = _staged(colour.join(sent, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c")))
-            changed = new.join(colour.withColumnRenamed("c", "old"), "id").filter("c <> old").isEmpty()
-            colour = new
-            if changed:
+            sent = _joined(live, colour.withColumnRenamed("id", "dep_id"), "dep_id").groupBy("id").agg(F.max("c").alias("m"))
+            new = _staged(_joined(colour, sent, "id", "left").select("id", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("new")))
+            colour = new.select("id", "c")
+            if new.filter("new").isEmpty():
                 break
-        inside = live.join(colour, "id").join(colour.select(F.col("id").alias("dep_id"), F.col("c").alias("d")), "dep_id").filter("c = d").select("id", "dep_id", "c")
+        inside = _joined(_joined(live, colour, "id"), colour.select(F.col("id").alias("dep_id"), F.col("c").alias("d")), "dep_id").filter("c = d").select("id", "dep_id", "c")
         inside = _staged(inside)
         found = _staged(colour.filter("id = c").select("id", "c"))
         frontier = found
         while True:
             # backwards: dependencies of found nodes that have the same colour
-            ahead = inside.join(frontier.select("id", F.col("c").alias("fc")), "id").select(F.col("dep_id").alias("id"), "c").distinct().join(found, ["id", "c"], "left_anti")
+            ahead = _joined(_joined(inside, frontier.select("id", F.col("c").alias("fc")), "id").select(F.col("dep_id").alias("id"), "c").distinct(), found, ["id", "c"], "left_anti")
             frontier = _staged(ahead)
             if frontier.isEmpty():
                 break
             found = _staged(found.unionByName(frontier))
         done.append(found)
-        live = _staged(live.join(found.select("id"), "id", "left_anti").join(found.select(F.col("id").alias("dep_id")), "dep_id", "left_anti").select("id", "dep_id"))
+        live = _staged(_joined(_joined(live, found.select("id"), "id", "left_anti"), found.select(F.col("id").alias("dep_id")), "dep_id", "left_anti").select("id", "dep_id"))
     else:
         if not live.isEmpty():
             raise LimitError(f"scc: not settled after {MAX_ROUNDS} rounds")
     if not done:
         return ids.withColumn("scc", F.col("id"))
-    every = done[0]
-    for d in done[1:]:
-        every = every.unionByName(d)
+    every = _union(done)
     least = every.groupBy("c").agg(F.min("id").alias("scc"))
-    named = every.join(least, "c").select("id", F.col("scc"))
-    return ids.join(named, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+    named = _joined(every, least, "c").select("id", F.col("scc"))
+    return _joined(ids, named, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+
+
+def _few_components(live: DataFrame) -> DataFrame:
+    """(id, c) of the nodes of a few edges, by the driver."""
+    needs: dict = {}
+    for r in live.collect():
+        needs.setdefault(r["id"], []).append(r["dep_id"])
+        needs.setdefault(r["dep_id"], [])
+    kind = dict(live.dtypes)["id"]
+    return live.sparkSession.createDataFrame(_small_scc(needs), f"id {kind}, c {kind}")
 
 
 def scc_check(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -238,30 +260,51 @@ def solve_linear(nodes: DataFrame, edges: DataFrame, *, b: str = "b", coeff: str
     edges = edges.filter("id IS NOT NULL AND dep_id IS NOT NULL").groupBy("id", "dep_id").agg(F.sum(F.coalesce(F.col(coeff).cast("double"), F.lit(0.0))).alias("coeff")).filter("coeff <> 0")
     if small := _small_system(nodes, edges):
         return _solve_small(nodes, *small, clamp, epsilon, iterations, tolerance)
-    comp, base = _staged(scc(nodes, edges)), nodes
-    known = comp.withColumnRenamed("id", "dep_id").withColumnRenamed("scc", "dep_scc")
-    links = _staged(edges.join(comp, "id").join(known, "dep_id").select("id", "dep_id", "scc", "dep_scc", "coeff"))
-    condensed = links.filter("scc <> dep_scc").select(F.col("scc").alias("id"), F.col("dep_scc").alias("dep_id"))
-    level = _staged(levels(comp.select(F.col("scc").alias("id")), condensed).withColumnRenamed("id", "scc"))
-    sized = comp.join(level, "scc").join(base, "id")
-    top = level.agg(F.max("level")).first()[0]
-    solved: DataFrame | None = None
-    for k in range((top if top is not None else -1) + 1):
-        here = sized.filter(F.col("level") == k)
-        outside = links.filter("scc <> dep_scc")
-        if solved is None:
-            with_b = here.withColumn("eff", F.col("b"))
-        else:
-            extra = outside.join(solved.select(F.col("id").alias("dep_id"), "x"), "dep_id").groupBy("id").agg(F.sum(F.col("coeff") * F.col("x")).alias("extra"))
-            with_b = here.join(extra, "id", "left").withColumn("eff", F.col("b") + F.coalesce("extra", F.lit(0.0)))
+    kind = dict(nodes.dtypes)["id"]
+    shape = f"id {kind}, x double, method string, scc {kind}, warning string"
+    limits = (clamp, epsilon, iterations, tolerance)
+    ids = nodes.select("id")
+    links = _staged(_joined(_joined(edges, ids, "id", "left_semi"), ids.withColumnRenamed("id", "dep_id"), "dep_id", "left_semi").select("id", "dep_id", "coeff"))
+    open_ = _staged(nodes.select("id", "b"))
+    direct = [(F.greatest("b", F.lit(0.0)) if clamp else F.col("b")).alias("x"), F.lit("direct").alias("method")]
+    solved: list[DataFrame] = []
+    for _ in range(MAX_ROUNDS + 1):  # nodes that rest on no cycle
+        if small := _small_system(open_, links):
+            return _union([*solved, _solve_small(nodes, *small, *limits)])
+        marked = _staged(_joined(open_, links.select("id", F.lit(True).alias("waits")).distinct(), "id", "left"))
+        free = marked.filter("waits IS NULL").select("id", *direct, F.col("id").alias("scc"), F.lit(None).cast("string").alias("warning"))
+        if free.isEmpty():
+            break
+        solved = _compact([*solved, free])
+        open_, links = _pushed(marked.filter("waits").select("id", "b"), links, free)
+    else:
+        raise LimitError(f"solve_linear: not settled after {MAX_ROUNDS} rounds")
+    comp = _staged(scc(open_, links))
+    named = _joined(_joined(links, comp, "id"), comp.select(F.col("id").alias("dep_id"), F.col("scc").alias("dep_scc")), "dep_id")
+    links, open_ = _staged(named.select("id", "dep_id", "coeff", "scc", "dep_scc")), _staged(_joined(open_, comp, "id"))
+    for _ in range(MAX_ROUNDS + 1):  # components, each once those that it needs are solved
+        if small := _small_system(open_, links):
+            return _union([*solved, _solve_small(nodes, *small, *limits)])
+        needy = links.filter("scc <> dep_scc").select("scc", F.lit(True).alias("waits")).distinct()
+        marked = _staged(_joined(open_, needy, "scc", "left"))
         loops = links.filter("scc = dep_scc").groupBy("id").agg(F.collect_list(F.struct("dep_id", "coeff")).alias("inside"))
-        rows = with_b.join(loops, "id", "left").select("id", "scc", "eff", "inside")
-        direct = rows.filter("inside IS NULL").select("id", (F.greatest(F.col("eff"), F.lit(0.0)) if clamp else F.col("eff")).alias("x"), F.lit("direct").alias("method"), "scc", F.lit(None).cast("string").alias("warning"))
-        id_type = rows.schema["id"].dataType.simpleString()
-        cyclic = rows.filter("inside IS NOT NULL").groupBy("scc").applyInPandas(_cycle_solver(clamp, epsilon, iterations, tolerance), f"id {id_type}, x double, method string, scc {id_type}, warning string")
-        both = direct.unionByName(cyclic)
-        solved = _staged(both if solved is None else solved.unionByName(both))
-    return solved if solved is not None else base.select("id", F.col("b").alias("x"), F.lit("direct").alias("method"), F.col("id").alias("scc"), F.lit(None).cast("string").alias("warning"))
+        ready = _joined(marked.filter("waits IS NULL").select("id", "scc", "b"), loops, "id", "left")
+        alone = ready.filter("inside IS NULL").select("id", *direct, "scc", F.lit(None).cast("string").alias("warning"))
+        dealt = ready.filter("inside IS NOT NULL").select("id", "scc", "b", "inside").repartition("scc").sortWithinPartitions("scc", "id")
+        done = _staged(alone.unionByName(dealt.mapInArrow(_cycle_solver(*limits), shape)))
+        if done.isEmpty():
+            return _union(solved)
+        solved = _compact([*solved, done])
+        open_, links = _pushed(marked.filter("waits").select("id", "scc", "b"), links, done)
+    raise LimitError(f"solve_linear: not settled after {MAX_ROUNDS} rounds")
+
+
+def _pushed(open_: DataFrame, links: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """open_ with what it needs of done added to b, and the links to nodes that aren't done."""
+    reached = _staged(_joined(links, done.select(F.col("id").alias("dep_id"), "x"), "dep_id", "left"))
+    extra = reached.filter("x IS NOT NULL").groupBy("id").agg(F.sum(F.col("coeff") * F.col("x")).alias("extra"))
+    more = _joined(open_, extra, "id", "left").withColumn("b", F.col("b") + F.coalesce("extra", F.lit(0.0))).select(open_.columns)
+    return _staged(more), reached.filter("x IS NULL").drop("x")
 
 
 def _small_system(nodes: DataFrame, edges: DataFrame) -> tuple[dict, dict] | None:
@@ -383,18 +426,88 @@ def _eliminated(links: list[dict], v, epsilon: float):
     return x
 
 
-def _cycle_solver(clamp: bool, epsilon: float, iterations: int, tolerance: float):
-    def solve(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        inside = [[(e["dep_id"], e["coeff"]) for e in found] if found is not None else [] for found in pdf["inside"]]
-        x, method, warning = _solved_cycle(list(pdf["id"]), pdf["eff"], inside, clamp, epsilon, iterations, tolerance)
-        return pd.DataFrame({"id": pdf["id"], "x": x, "method": method, "scc": pdf["scc"], "warning": warning})
+def _cycle_solver(*limits):
+    """Rows of whole components, in order, a batch at a time: those of one size are one stack of matrices."""
+
+    def rows_of(whole):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ids, keys, b = whole.column("id").to_pylist(), whole.column("scc").to_pylist(), whole.column("b").to_numpy(zero_copy_only=False)
+        inside = whole.column("inside")
+        pairs, owner = inside.flatten(), np.repeat(np.arange(len(ids)), pc.list_value_length(inside).to_numpy(zero_copy_only=False))
+        place = {v: k for k, v in enumerate(ids)}
+        deps = np.fromiter((place[v] for v in pairs.field("dep_id").to_pylist()), np.int64, len(pairs))
+        coeffs = pairs.field("coeff").to_numpy(zero_copy_only=False)
+        starts = np.array([k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]])
+        sizes = np.diff([*starts, len(ids)])
+        component = np.repeat(np.arange(len(starts)), sizes)
+        x, method, warning = _solved_stacks(b, starts, sizes, component, owner, deps, coeffs, limits)
+        return pa.RecordBatch.from_arrays([whole.column("id"), pa.array(x, pa.float64()), pa.array(method, pa.string()), whole.column("scc"), pa.array(warning, pa.string())], names=["id", "x", "method", "scc", "warning"])
+
+    def solve(batches):
+        import pyarrow as pa
+
+        held: list = []  # the rows of the last component, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column("scc").to_pylist()
+            last = next((k for k in range(len(keys) - 1, 0, -1) if keys[k] != keys[k - 1]), 0)
+            if not last and held and held[-1].column("scc")[0].as_py() != keys[0]:
+                yield rows_of(pa.concat_batches(held))
+                held = []
+            elif last:
+                yield rows_of(pa.concat_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield rows_of(pa.concat_batches(held))
 
     return solve
 
 
+def _solved_stacks(b, starts, sizes, component, owner, deps, coeffs, limits: tuple) -> tuple:
+    """(x, method, warning) of components that lie one after the other. owner, deps, coeffs: links
+    between rows. The results are those of _solved_cycle, which solves what a stack can't hold."""
+    import numpy as np
+
+    clamp, epsilon = limits[0], limits[1]
+    x, method, warning = np.array(b, float), np.full(len(b), "gaussian", object), np.full(len(b), None, object)
+    by_hand = []
+    of_link, finite = component[owner], np.ones(len(starts), bool)
+    finite[component[~np.isfinite(x)]] = False
+    finite[of_link[~np.isfinite(coeffs)]] = False
+    for n in np.unique(sizes).tolist():
+        mine = np.flatnonzero(sizes == n)
+        if n > LARGE:
+            by_hand += mine.tolist()
+            continue
+        by_hand += mine[~finite[mine]].tolist()
+        mine = mine[finite[mine]]
+        rank = np.full(len(starts), -1)
+        rank[mine] = np.arange(len(mine))
+        at = rank[of_link] >= 0
+        m = np.tile(np.eye(n), (len(mine), 1, 1))
+        np.subtract.at(m, (rank[of_link[at]], owner[at] - starts[of_link[at]], deps[at] - starts[of_link[at]]), coeffs[at])
+        fine = np.linalg.cond(m) < 1 / epsilon
+        by_hand += mine[~fine].tolist()
+        rows = starts[mine[fine]][:, None] + np.arange(n)
+        found = np.linalg.solve(m[fine], x[rows][..., None])[..., 0]
+        x[rows] = np.maximum(found, 0.0) if clamp else found
+    if by_hand:
+        order = np.argsort(of_link, kind="stable")
+        first = np.searchsorted(of_link[order], np.arange(len(starts) + 1))
+    for c in by_hand:
+        low, n = int(starts[c]), int(sizes[c])
+        inside: list[list] = [[] for _ in range(n)]
+        for k in order[first[c] : first[c + 1]]:
+            inside[owner[k] - low].append((int(deps[k]) - low, float(coeffs[k])))
+        x[low : low + n], method[low : low + n], warning[low : low + n] = _solved_cycle(list(range(n)), x[low : low + n], inside, *limits)
+    return x, method, warning
+
+
 def scc_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, scc, level, position): components in the order of the condensed graph, their members
     together. Nodes of cycles have level -1, as in levels(), but stand where their component does;

@@ -414,6 +414,32 @@ def test_solver_rests_on_no_edge_of_coefficient_zero(spark, monkeypatch, edges_o
     assert got == {k: (4.0 if k == 3 else float(k), "direct") for k in range(12)}
 
 
+def test_small_cycles_are_solved_as_stacks(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerloom.operators import graph
+
+    rng, rows = np.random.default_rng(5), []
+    for c, n in enumerate([1, 2, 2, 3, 2, 20, 4, 2, 1]):
+        for i in range(n):
+            weight = 1.0 if c in (1, 8) else float(rng.random() / n)  # singular
+            rows.append({"id": 100 * c + i, "scc": 100 * c, "b": float(rng.random()), "inside": [{"dep_id": 100 * c + (i + 1) % n, "coeff": weight}]})
+    want = {}
+    for c in {r["scc"] for r in rows}:
+        mine = [r for r in rows if r["scc"] == c]
+        x, method, warning = graph._solved_cycle([r["id"] for r in mine], [r["b"] for r in mine], [[(e["dep_id"], e["coeff"]) for e in r["inside"]] for r in mine], True, 1e-9, 50, 1e-6)
+        want |= {r["id"]: (v, method, c, warning) for r, v in zip(mine, x.tolist(), strict=True)}
+    single = graph._solved_cycle
+    calls = []
+    monkeypatch.setattr(graph, "_solved_cycle", lambda *a: calls.append(len(a[0])) or single(*a))
+    whole = pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("scc", pa.int64()), ("b", pa.float64()), ("inside", pa.list_(pa.struct([("dep_id", pa.int64()), ("coeff", pa.float64())])))]))
+    for size in (1, 3, 7, len(rows)):
+        got = [r for out in graph._cycle_solver(True, 1e-9, 50, 1e-6)(whole.slice(k, size) for k in range(0, len(rows), size)) for r in out.to_pylist()]
+        assert {r["id"]: (r["x"], r["method"], r["scc"], r["warning"]) for r in got} == want and len(got) == len(rows)
+    assert sorted(calls[-3:]) == [1, 2, 20]  # all others by stacks
+
+
 def test_sparse_elimination_equals_dense(monkeypatch):
     import numpy as np
 
