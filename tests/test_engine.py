@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -440,6 +441,26 @@ def test_small_cycles_are_solved_as_stacks(monkeypatch):
     assert sorted(calls[-3:]) == [1, 2, 20]  # all others by stacks
 
 
+@pytest.mark.parametrize("edges_on_driver", [0, 6, 50_000])
+def test_graphs_that_shrink_finish_alike(spark, monkeypatch, edges_on_driver):
+    from ledgerloom.operators import graph
+
+    monkeypatch.setattr(graph, "DRIVER_EDGES", edges_on_driver)
+    rounds, staged = [], graph._staged
+    monkeypatch.setattr(graph, "_staged", lambda df: rounds.append(1) or staged(df))
+    tree = [(k // 2, k, 0.5) for k in range(2, 16)]
+    ring = [(20, 21, 0.5), (21, 20, 0.5), (22, 21, 1.0), (22, 1, 1.0), (30, 30, 0.5), (31, 30, 2.0)]
+    nodes = spark.createDataFrame([(k, 1.0) for k in [*range(1, 16), 20, 21, 22, 30, 31]], "id long, b double")
+    edges = spark.createDataFrame(tree + ring, "id long, dep_id long, coeff double")
+    depth = {k: 3 - int(math.log2(k)) for k in range(1, 16)}
+    assert {r["id"]: r["level"] for r in graph.levels(nodes, edges).collect()} == depth | {20: -1, 21: -1, 22: -1, 30: 0, 31: 1}
+    assert {r["id"]: r["scc"] for r in graph.scc(nodes, edges).collect()} == {r: r for r in [*range(1, 16), 20, 22, 30, 31]} | {21: 20}
+    got = {r["id"]: (r["x"], r["method"], r["scc"]) for r in graph.solve_linear(nodes, edges).collect()}
+    assert got == {k: (float(depth[k] + 1), "direct", k) for k in depth} | {20: (2.0, "gaussian", 20), 21: (2.0, "gaussian", 20), 22: (7.0, "direct", 22), 30: (2.0, "gaussian", 30), 31: (5.0, "direct", 31)}
+    if edges_on_driver == 6:
+        assert len(rounds) < 40
+
+
 def test_sparse_elimination_equals_dense(monkeypatch):
     import numpy as np
 
