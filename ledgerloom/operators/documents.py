@@ -8,22 +8,26 @@ names. Where there are many texts, rows are dealt by theirs, and each share has
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.errors import FormulaError
 from ledgerloom.expr import parser
 from ledgerloom.expr import values as V
+from ledgerloom.expr.interpret import prepared
 from ledgerloom.operators.graph import shared_folder
 from ledgerloom.plans.engine import FormulaEngine
 
 #: Different formula texts that one plan may hold.
 MAX_TEMPLATES = 500
+#: Cells, or child rows, that one task brings together.
+CELLS_A_TASK = 400_000
 _NUMBER = re.compile(r"^\s*[-+]?\d+(?:\.\d+)?\s*$")
 
 
@@ -246,59 +250,112 @@ def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str],
     document's scalars (numeric columns of `scalars`), and first of all the values in the cell's own
     JSON object, where there is a column `own`.
 
-    Graphs differ by document, so a document's cells are brought into one list and evaluated, a
-    batch of documents at a time, by an interpreter of the checked syntax tree; Python's eval is never used. Cells
-    that fail, or lie on a cycle, have the default.
+    Graphs differ by document, so a document's cells are brought together in one task and evaluated
+    by functions made once of each checked syntax tree; Python's eval is never used. Documents are
+    dealt over as many tasks as a count of the cells asks for, CELLS_A_TASK in each, and stream
+    through them one at a time. Cells that fail, or lie on a cycle, have the default.
     """
+    spark, kind = cell_rows.sparkSession, cell_rows.schema["doc_id"].dataType
     numeric = [c for c, t in scalars.dtypes if c != key and t in ("int", "bigint", "double", "float", "smallint")]
-    packed = scalars.select(F.col(key).alias("doc_id"), F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in numeric])).alias("scalars"))
     own = F.col("own") if "own" in cell_rows.columns else F.lit(None).cast("string")
-    listed = cell_rows.groupBy("doc_id").agg(F.collect_list(F.struct("name", "text", own.alias("own"))).alias("cells"))
-    joined = listed.join(packed, "doc_id", "left").select("doc_id", "cells", "scalars")
-    evaluated = joined.select("doc_id", _evaluator(tables, default)("cells", "scalars").alias("v"))
-    return evaluated.select("doc_id", F.explode("v").alias("v")).select("doc_id", "v.name", "v.value")
+    rows = cell_rows.select("doc_id", "name", "text", own.alias("own"), F.lit(False).alias("head"))
+    if numeric:
+        packed = F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in numeric]))
+        none = F.lit(None).cast("string")
+        rows = rows.unionByName(scalars.filter(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("doc_id"), none.alias("name"), packed.alias("text"), none.alias("own"), F.lit(True).alias("head")))
+    dealt = rows.repartition(tasks_for(spark, cell_rows.count()), "doc_id").sortWithinPartitions("doc_id")
+    shape = T.StructType([T.StructField("doc_id", kind), T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
+    return dealt.mapInArrow(_evaluator(tuple(tables), default), shape)
 
 
-def _evaluator(tables: list[str], default: float):
-    @F.pandas_udf("array<struct<name:string,value:double>>")
-    def run(cells: pd.Series, scalars: pd.Series) -> pd.Series:
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Tasks of CELLS_A_TASK rows; of fewer, while cores are free."""
+    return max(-(-rows // CELLS_A_TASK), min(spark.sparkContext.defaultParallelism, 1 + rows // 5_000))
+
+
+def _evaluator(tables: tuple[str, ...], default: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        held = lambda found: {c["name"]: json.loads(c["own"]) for c in found if c["own"]}
-        return pd.Series([_document({c["name"]: c["text"] for c in found}, json.loads(s) if isinstance(s, str) else {}, tables, default, held(found)) for found, s in zip(cells, scalars, strict=True)])
+        load, last = json.loads, None
+        texts, own, heads, out = {}, {}, [], ([], [], [])
+
+        def close():
+            for head in heads or [{}]:
+                values = _document(texts, head, tables, default, own)
+                out[0].extend([last] * len(values))
+                out[1].extend(values)
+                out[2].extend(values.values())
+
+        for batch in batches:
+            for doc, name, text, held, head in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if doc != last and not (doc != doc and last != last):
+                    if texts:
+                        close()
+                    texts, own, heads, last = {}, {}, [], doc
+                if head:
+                    heads.append(load(text))
+                else:
+                    texts[name] = text
+                    if held:
+                        own[name] = load(held)
+            if out[0]:
+                yield _answers(out, batch.schema.field(0).type)
+                out = ([], [], [])
+        if texts:
+            close()
+            yield _answers(out, batch.schema.field(0).type)
 
     return run
 
 
+def _answers(out: tuple[list, list, list], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["doc_id", "name", "value"])
+
+
 @lru_cache(maxsize=10_000)
 def _checked(text: str, tables: tuple[str, ...]):
-    """(tree, names that it reads) of a cell's text; (None, none) where it can't be parsed."""
+    """(function, names that it reads) of a cell's text; (None, none) where it can't be parsed."""
     try:
         tree = parser.parse(scoped(text, list(tables)))
-        return tree, frozenset(parser.names(tree))
+        return prepared(tree), frozenset(parser.names(tree))
     except FormulaError:
         return None, frozenset()
 
 
-def _document(texts: dict[str, str], scalars: Mapping, tables: list[str], default: float, own: Mapping[str, Mapping]) -> list[dict]:
-    """The values of one document's cells, in the order of their needs."""
-    from ledgerloom.expr.interpret import evaluate
+_NOTHING: dict = {}
+
 
+def _document(texts: dict[str, str], scalars: Mapping, tables: tuple[str, ...], default: float, own: Mapping[str, Mapping]) -> dict[str, float]:
+    """The values of one document's cells, in the order of their needs."""
     env = {k: v for k, v in scalars.items() if v is not None}
-    trees = {n: _checked(t, tuple(tables)) for n, t in texts.items()}
-    reads = {n: (names & texts.keys()) - own.get(n, {}).keys() for n, (_, names) in trees.items()}
     values: dict[str, float] = {}
-    waiting = set(texts)
-    while ready := sorted(n for n in waiting if not reads[n] & waiting):
-        seen = env | values
-        for n in ready:
-            try:
-                values[n] = float(evaluate(trees[n][0], seen | own[n] if n in own else seen)) if trees[n][0] is not None else default
-            except (FormulaError, ArithmeticError, TypeError, ValueError, KeyError):
-                values[n] = default
-        waiting -= set(ready)
-    values |= dict.fromkeys(waiting, default)
-    return [{"name": n, "value": v} for n, v in values.items()]
+    checked, left, users, ready = {}, {}, {}, []
+    for n, text in texts.items():
+        checked[n] = run, names = _checked(text, tables)
+        mine, needs = own.get(n, _NOTHING), 0
+        for m in names:
+            if m in texts and m not in mine:
+                needs += 1
+                users.setdefault(m, []).append(n)
+        if needs:
+            left[n] = needs
+        else:
+            ready.append(n)
+    for n in ready:
+        run, mine = checked[n][0], own.get(n)
+        try:
+            value = float(run({**env, **mine} if mine else env)) if run is not None else default
+        except (FormulaError, ArithmeticError, TypeError, ValueError, KeyError):
+            value = default
+        values[n] = env[n] = value
+        for u in users.get(n, ()):
+            left[u] -= 1
+            if not left[u]:
+                ready.append(u)
+    for n in texts:
+        values.setdefault(n, default)
+    return values
 
 
 def calc_table(rows: DataFrame, columns: Mapping[str, str], *, parent: str | None = None, order: tuple[str, ...] = ()) -> DataFrame:

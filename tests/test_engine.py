@@ -504,3 +504,22 @@ def test_rows_read_header_formulas_and_other_rows(spark):
     assert got == {(1, "rate2"): 6.0, (1, "gross"): 600.0, (1, "R_a"): 60.0, (1, "R_b"): 661.0, (2, "rate2"): 0.0, (2, "gross"): 0.0, (2, "R_a"): 0.0, (2, "R_b"): 0.0}
     _, out = DocumentEngine({"rate2": "rate * 2", "total": "sum(items.*.amount)"}, (ChildTable("items", "text"),)).apply(headers, {"items": rows.filter("id = 'a' AND doc_id = 1")})
     assert out["items"].first()["amount"] == 60.0
+
+
+def test_cells_are_dealt_by_their_count(spark, monkeypatch):
+    from ledgerloom.operators import documents
+
+    monkeypatch.setattr(documents, "CELLS_A_TASK", 10)
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(batch)
+    rows = [(d, f"c{k}", f"c{k - 1} + rate" if k else "rate") for d in range(30) for k in range(4)] + [(None, "c0", "2 * 3"), (7, "x", "y"), (7, "y", "x + 1"), (7, "z", "x * 0"), (7, "bad", "1 +")]
+    spark.conf.set(batch, "3")  # documents go over the ends of batches
+    try:
+        out = documents.evaluate_cells(spark.createDataFrame(rows, "doc_id long, name string, text string"), spark.createDataFrame([(d, float(d)) for d in range(29)] + [(None, 1.0)], "doc_id long, rate double"), [], default=-1.0)
+        got = {(r["doc_id"], r["name"]): r["value"] for r in out.collect()}
+        tasks = out.rdd.getNumPartitions()
+    finally:
+        spark.conf.set(batch, old)
+    want = {(d, f"c{k}"): (k + 1.0) * d if d < 29 else -1.0 + 0 * k for d in range(30) for k in range(4)}
+    want |= {(29, f"c{k}"): -1.0 for k in range(4)} | {(None, "c0"): 6.0} | {(7, n): -1.0 for n in ("x", "y", "z", "bad")}
+    assert got == want and tasks == 13
