@@ -523,3 +523,15 @@ def test_cells_are_dealt_by_their_count(spark, monkeypatch):
     want = {(d, f"c{k}"): (k + 1.0) * d if d < 29 else -1.0 + 0 * k for d in range(30) for k in range(4)}
     want |= {(29, f"c{k}"): -1.0 for k in range(4)} | {(None, "c0"): 6.0} | {(7, n): -1.0 for n in ("x", "y", "z", "bad")}
     assert got == want and tasks == 13
+
+
+def test_long_chain_of_cells_takes_time_in_proportion(spark):
+    import time
+
+    from ledgerloom.operators import documents
+
+    n = 30_000
+    rows = spark.range(n).selectExpr("1L AS doc_id", "concat('c', id) AS name", "if(id = 0, '1', concat('c', id - 1, ' + 1')) AS text")
+    start = time.monotonic()
+    out = documents.evaluate_cells(rows, spark.createDataFrame([(1, 0.0)], "doc_id long, s double"), [])
+    assert out.agg(F.max("value"), F.count("value")).first()[:] == (float(n), n) and time.monotonic() - start < 30
