@@ -71,12 +71,13 @@ class DocumentEngine:
         """The different formula texts of a column that aren't plain numbers."""
         return sorted(r["t"] for r in self._texts(rows, column).collect())
 
-    def evaluate_text(self, rows: DataFrame, column: str, out: str) -> DataFrame:
+    def evaluate_text(self, rows: DataFrame, column: str, out: str, dealt: tuple[int, str] | None = None) -> DataFrame:
         """rows with `out`: the value (double) of the formula text in `column` over the row's own
         columns; plain numbers stand for themselves.
 
         Over MAX_TEMPLATES different texts, rows are written to the shared folder by a hash of their
-        text, and so is each share's result: the driver holds one share's texts at a time.
+        text, and so is each share's result: the driver holds one share's texts at a time. dealt:
+        tasks and key by which rows lie, so that they lie so again after it.
         """
         few = [r["t"] for r in self._texts(rows, column).limit(MAX_TEMPLATES + 1).collect()]
         if len(few) <= MAX_TEMPLATES:
@@ -91,7 +92,8 @@ class DocumentEngine:
             mine = spark.read.schema(rows.schema).parquet(f"{folder}/rows/__share={k}")
             done = self._with_templates(mine, column, out, self.templates(mine, column))
             done.write.mode("append").parquet(f"{folder}/out")
-        return spark.read.schema(done.schema).parquet(f"{folder}/out")
+        every = spark.read.schema(done.schema).parquet(f"{folder}/out")
+        return every.repartition(*dealt) if dealt else every
 
     def _with_templates(self, rows: DataFrame, column: str, out: str, texts: list[str]) -> DataFrame:
         env_engine = self._engine({})
@@ -118,21 +120,25 @@ class DocumentEngine:
         return done.drop(*[t.name for t in self.tables]), out
 
     def _lists(self, headers: DataFrame, children: Mapping[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
-        """(headers with each child table as a list, child tables with values)."""
+        """(headers with each child table as a list, child tables with values). All are dealt by
+        document once, over as many tasks as a count of the largest table asks for."""
         out: dict[str, DataFrame] = {}
+        if self.tables:
+            tasks = tasks_for(headers.sparkSession, max(df.count() for df in (headers, *[children[t.name] for t in self.tables])))
+            headers = headers.repartition(tasks, self.key)
         wide, engine, names = headers, self._engine(self.header), {t.name for t in self.tables}
         early = [n for n in engine.topo_order if not names & {r for m in (n, *engine.dag.ancestors(n)) for r in engine.reads[m]}]
         seen = engine.apply(headers, only=early) if early else headers
         for t in self.tables:
-            rows = children[t.name]
+            rows = children[t.name].repartition(tasks, self.parent)
             shared = [c for c in seen.columns if c not in rows.columns and c != self.key]
             if shared:
                 side = seen.select(F.col(self.key).alias("__k"), *[F.col(f"`{c}`") for c in shared])
                 rows = rows.join(side, rows[self.parent] == F.col("__k"), "left").drop("__k")
             for f in t.fields:
-                rows = self.evaluate_text(rows, f, f)
+                rows = self.evaluate_text(rows, f, f, (tasks, self.parent))
             if t.formula:
-                rows = self.evaluate_text(rows, t.formula, t.output)
+                rows = self.evaluate_text(rows, t.formula, t.output, (tasks, self.parent))
             if t.computed:
                 rows = self._engine(t.computed).apply(rows)
             rows = rows.drop(*shared)

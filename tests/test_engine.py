@@ -535,3 +535,17 @@ def test_long_chain_of_cells_takes_time_in_proportion(spark):
     start = time.monotonic()
     out = documents.evaluate_cells(rows, spark.createDataFrame([(1, 0.0)], "doc_id long, s double"), [])
     assert out.agg(F.max("value"), F.count("value")).first()[:] == (float(n), n) and time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize("templates", [1, 500])
+def test_documents_are_dealt_by_the_count_of_their_rows(spark, monkeypatch, templates):
+    from ledgerloom.operators import documents
+
+    monkeypatch.setattr(documents, "CELLS_A_TASK", 10)
+    monkeypatch.setattr(documents, "MAX_TEMPLATES", templates)
+    headers = spark.createDataFrame([(d, float(d)) for d in range(20)], "doc_id long, rate double")
+    rows = spark.createDataFrame([(d, k, f"rate * {k}") for d in range(18) for k in range(4)] + [(None, 0, "1")], "doc_id long, n int, text string")
+    e = documents.DocumentEngine({"twice": "rate * 2", "total": "sum(items.*.amount) + twice"}, (documents.ChildTable("items", "text", order=("n",)),))
+    done, out = e.apply(headers, {"items": rows})
+    assert {r["doc_id"]: r["total"] for r in done.collect()} == {d: 8.0 * d if d < 18 else 2.0 * d for d in range(20)}
+    assert done.rdd.getNumPartitions() == out["items"].rdd.getNumPartitions() == 8 and out["items"].count() == 73
