@@ -9,8 +9,10 @@ SHARE of all leaves (more where those hold too few vectors); the candidates ther
 their exact distance.
 
 Rows are made distinct first. Beyond DEEPEST levels leaves grow with the input; one of over BLOCK vectors is split
-into blocks by a hash of id and vector, and its queries go to each block. A block's answer is at
-most k rows a query, of different ids, so pairs never become rows. A task holds one block.
+into blocks by a hash of id and vector, and its queries go to each block. A task holds one block at a
+time and answers for all its blocks at once: at most k rows a query, of different ids (more often only
+where it has over HELD of them), so neither pairs nor visits become rows. TASKS tasks answer, more
+where each would get over TASK_ROWS rows.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ SHARE = 0.17
 SAMPLE = 16_384
 LEAF = 12
 BLOCK = 32_768
+TASKS, TASK_ROWS, HELD = 16, 1_000_000, 2_000_000
 K = 10
 
 
@@ -239,13 +242,13 @@ def search(
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, ids, held = None, [], []
         base = None
+        got = ([], [], [])
         for batch in batches:
             cells = batch.column(0).to_numpy(zero_copy_only=False)
             who = batch.column(1).to_numpy(zero_copy_only=False)
             asks = batch.column(2).to_numpy(zero_copy_only=False)
             x = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<f8").reshape(-1, width)
             cuts = np.flatnonzero((np.diff(cells) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            got = ([], [], [])
             for a, b in zip([0, *cuts], [*cuts, len(cells)], strict=True):
                 if a == b:
                     continue
@@ -265,16 +268,42 @@ def search(
                     base = (*base, np.einsum("ij,ij->i", base[1], base[1]), starts)
                 for low in range(a, b, 64):
                     _nearest(who[low : min(b, low + 64)], x[low : min(b, low + 64)], base, k, got)
-            if got[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    dealt = rows.select("id", "vector", "query").mapInArrow(deal, "cell long, id long, query boolean, vector binary").repartition("cell").sortWithinPartitions("cell", "query")
+            if len(got[0]) > HELD:
+                best = _best(got, k)
+                if len(best[0]) > HELD // 2:
+                    yield answers(best)
+                got = ([], [], []) if len(best[0]) > HELD // 2 else tuple(c.tolist() for c in best)
+        if got[0]:
+            yield answers(_best(got, k))
+
+    def answers(best):
+        return pa.RecordBatch.from_arrays([pa.array(best[0], pa.int64()), pa.array(best[1], pa.int64()), pa.array(best[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    sent = trees * sum(sizes[0].values()) + budget * rows.filter("query").count() if width else 0
+    tasks = max(TASKS, -(-sent // TASK_ROWS))
+    dealt = rows.select("id", "vector", "query").mapInArrow(deal, "cell long, id long, query boolean, vector binary").repartition(tasks, "cell").sortWithinPartitions("cell", "query")
     near = dealt.mapInArrow(answer, "query_id long, vec_id long, score double")
     best = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _best(got, k: int) -> tuple:
+    """Of (query ids, ids, distances) the k nearest ids of each query, each once, ties to the smaller id."""
+    import numpy as np
+
+    ask, ids, far = np.array(got[0], np.int64), np.array(got[1], np.int64), np.array(got[2], np.float64)
+    at = np.lexsort((far, ids, ask))
+    ask, ids, far = ask[at], ids[at], far[at]
+    once = np.ones(len(at), bool)
+    once[1:] = (ask[1:] != ask[:-1]) | (ids[1:] != ids[:-1])
+    ask, ids, far = ask[once], ids[once], far[once]
+    at = np.lexsort((ids, far, ask))
+    ask, ids, far = ask[at], ids[at], far[at]
+    near = np.arange(len(at)) - np.searchsorted(ask, ask) < k
+    return ask[near], ids[near], far[near]
+
+
 def _nearest(who, x, base, k: int, got) -> None:
     """Append to got (query ids, ids, distances) the k nearest ids of base for each query, each by
     its nearest vector. The product form picks candidates with a margin for its rounding; their

@@ -525,6 +525,31 @@ def rows_scored(x, share=ann.SHARE):
     return float(np.mean(union)), float(np.mean(all_))
 
 
+@pytest.mark.parametrize("held", [ann.HELD, 50, 3000])
+def test_ann_answers_are_one_a_task(spark, monkeypatch, held):
+    monkeypatch.setattr(ann, "HELD", held)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 100 == 0, share=1.0)
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 3000, 100):
+        far = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        assert [v for _, v in sorted(found[q])] == np.argsort(far)[:10].tolist()
+    todo, made = [got._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "MapInArrowExec" and "score" in node.output().toString():
+            made.append(node.metrics().apply("pythonNumRowsReceived").value())
+        children = node.children()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [children.apply(k) for k in range(children.size())]
+    assert len(made) == 1 and (held != ann.HELD or made[0] <= 30 * ann.TASKS * ann.K)
+
+
 def test_ann_rows_scored():
     """What the README states: little is pruned among vectors without structure."""
     x = np.random.default_rng(1).normal(size=(4000, 64))
