@@ -505,7 +505,8 @@ SELECT l_orderkey AS doc_id, 'L' || n AS name, CAST(sum(x) OVER (PARTITION BY l_
 def q_document_cross_refs(spark, d):
     """Rows read header formulas and the row before; header formulas read a row."""
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = table(spark, d, "lineitem").withColumn("n", place)
+    lines = table(spark, d, "lineitem")
+    lines = lines.repartition(documents.tasks_for(spark, lines.count()), "l_orderkey").withColumn("n", place)
     text = F.concat(F.lit("l_quantity * rate"), F.when(F.col("n") > 1, F.concat(F.lit(" + L"), (F.col("n") - 1).cast("string"))).otherwise(""))
     rows = lines.select(F.col("l_orderkey").alias("o_orderkey"), "n", "l_quantity", text.alias("text"))
     headers = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(rows.select("o_orderkey").distinct(), "o_orderkey", "left_semi")
