@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 from ledgerloom.errors import FormulaError
 from ledgerloom.expr import parser
 from ledgerloom.expr import values as V
-from ledgerloom.expr.interpret import prepared
+from ledgerloom.expr.interpret import named, over_arrays, prepared, template
 from ledgerloom.operators.graph import shared_folder
 from ledgerloom.plans.engine import FormulaEngine
 
@@ -28,6 +30,8 @@ from ledgerloom.plans.engine import FormulaEngine
 MAX_TEMPLATES = 500
 #: Cells, or child rows, that one task brings together.
 CELLS_A_TASK = 400_000
+#: Documents of a batch that differ in numbers only are evaluated as arrays, from so many on.
+ALIKE = 8
 _NUMBER = re.compile(r"^\s*[-+]?\d+(?:\.\d+)?\s*$")
 
 
@@ -153,18 +157,20 @@ class DocumentEngine:
         texts of the rows that have an id, named prefix + id. A text reads its row's own columns
         first, then rows and header formulas by name, then numeric header columns. Rows without an
         id or a text take no part. For texts that read other rows; others go through apply()."""
+        most = headers.count() * len(self._listed())
         parts = [headers.select(F.col(self.key).alias("doc_id"), F.explode(F.array(*[F.struct(F.lit(f["name"]).alias("name"), F.lit(str(f["formula"])).alias("text")) for f in self._listed()])).alias("c")).select("doc_id", "c.*", F.lit(None).cast("string").alias("own"))] if self._listed() else []
         for t in self.tables:
             if not t.formula or not t.id:
                 continue
             rows = children[t.name]
+            most += rows.count()
             plain = [c for c, k in rows.dtypes if k in ("tinyint", "smallint", "int", "bigint", "float", "double", "string", "boolean") and c != t.formula]
             text = F.trim(F.col(t.formula).cast("string"))
             parts.append(rows.filter(F.col(t.id).isNotNull() & (text != "")).select(F.col(self.parent).alias("doc_id"), F.concat(F.lit(t.prefix), F.col(t.id).cast("string")).alias("name"), text.alias("text"), F.to_json(F.struct(*plain)).alias("own")))
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        return evaluate_cells(every, headers, [], self.key, default)
+        return evaluate_cells(every, headers, [], self.key, default, cells_at_most=most)
 
     # --- tooling
 
@@ -212,8 +218,12 @@ class DocumentEngine:
 
 def cells(rows: DataFrame, table: str, slug: str, fields: list[str], parent: str = "doc_id") -> DataFrame:
     """(doc_id, name, text): a child table's formula cells, named table__slug__field."""
-    pieces = F.array(*[F.struct(F.concat(F.lit(f"{table}__"), F.regexp_replace(F.col(slug), r"\W", "_"), F.lit(f"__{f}")).alias("name"), F.col(f).cast("string").alias("text")) for f in fields])
-    return rows.select(F.col(parent).alias("doc_id"), F.explode(pieces).alias("c")).select("doc_id", "c.*").filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    pieces = [(F.concat(F.lit(f"{table}__"), F.regexp_replace(F.col(slug), r"\W", "_"), F.lit(f"__{f}")).alias("name"), F.col(f).cast("string").alias("text")) for f in fields]
+    if len(pieces) == 1:  # rows stay in their order, which an explode hides
+        every = rows.select(F.col(parent).alias("doc_id"), *pieces[0])
+    else:
+        every = rows.select(F.col(parent).alias("doc_id"), F.explode(F.array(*[F.struct(*c) for c in pieces])).alias("c")).select("doc_id", "c.*")
+    return every.filter(F.col("text").isNotNull() & (F.col("text") != ""))
 
 
 @dataclass(frozen=True)
@@ -251,27 +261,33 @@ def scoped(text: str, tables: list[str]) -> str:
     return re.sub(rf"\b({names})\[(\d+)\]\.(\w+)", r"\1__\2__\3", text)
 
 
-def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str], key: str = "doc_id", default: float = 0.0) -> DataFrame:
+def evaluate_cells(cell_rows: DataFrame, scalars: DataFrame, tables: list[str], key: str = "doc_id", default: float = 0.0, *, cells_at_most: int | None = None, dealt: bool = False) -> DataFrame:
     """(doc_id, name, value): every document's own graph of cells, which may read each other and the
     document's scalars (numeric columns of `scalars`), and first of all the values in the cell's own
     JSON object, where there is a column `own`.
 
     Graphs differ by document, so a document's cells are brought together in one task and evaluated
     by functions made once of each checked syntax tree; Python's eval is never used. Documents are
-    dealt over as many tasks as a count of the cells asks for, CELLS_A_TASK in each, and stream
-    through them one at a time. Cells that fail, or lie on a cycle, have the default.
+    dealt over as many tasks as a count of the cells asks for (cells_at_most, where the caller has
+    one), CELLS_A_TASK in each, and stream through them, a batch of whole documents at a time. dealt:
+    a document's cells lie in one task already, as after a window over documents; then nothing is
+    counted or shuffled, unless scalars must come to them. Cells that fail, or lie on a cycle, have
+    the default.
     """
     spark, kind = cell_rows.sparkSession, cell_rows.schema["doc_id"].dataType
     numeric = [c for c, t in scalars.dtypes if c != key and t in ("int", "bigint", "double", "float", "smallint")]
-    own = F.col("own") if "own" in cell_rows.columns else F.lit(None).cast("string")
-    rows = cell_rows.select("doc_id", "name", "text", own.alias("own"), F.lit(False).alias("head"))
+    rows = cell_rows.select("doc_id", "name", "text")
+    if numeric or "own" in cell_rows.columns:
+        own = F.col("own") if "own" in cell_rows.columns else F.lit(None).cast("string")
+        rows = cell_rows.select("doc_id", "name", "text", own.alias("own"), F.lit(False).alias("head"))
     if numeric:
         packed = F.to_json(F.struct(*[F.col(c).cast("double").alias(c) for c in numeric]))
         none = F.lit(None).cast("string")
         rows = rows.unionByName(scalars.filter(F.col(key).isNotNull()).select(F.col(key).cast(kind).alias("doc_id"), none.alias("name"), packed.alias("text"), none.alias("own"), F.lit(True).alias("head")))
-    dealt = rows.repartition(tasks_for(spark, cell_rows.count()), "doc_id").sortWithinPartitions("doc_id")
+    if numeric or not dealt:
+        rows = rows.repartition(tasks_for(spark, cell_rows.count() if cells_at_most is None else cells_at_most), "doc_id")
     shape = T.StructType([T.StructField("doc_id", kind), T.StructField("name", T.StringType()), T.StructField("value", T.DoubleType())])
-    return dealt.mapInArrow(_evaluator(tuple(tables), default), shape)
+    return rows.sortWithinPartitions("doc_id").mapInArrow(_evaluator(tuple(tables), default), shape)
 
 
 def tasks_for(spark: SparkSession, rows: int) -> int:
@@ -281,52 +297,147 @@ def tasks_for(spark: SparkSession, rows: int) -> int:
 
 def _evaluator(tables: tuple[str, ...], default: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        load, last = json.loads, None
-        texts, own, heads, out = {}, {}, [], ([], [], [])
-
-        def close():
-            for head in heads or [{}]:
-                values = _document(texts, head, tables, default, own)
-                out[0].extend([last] * len(values))
-                out[1].extend(values)
-                out[2].extend(values.values())
-
-        for batch in batches:
-            for doc, name, text, held, head in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if doc != last and not (doc != doc and last != last):
-                    if texts:
-                        close()
-                    texts, own, heads, last = {}, {}, [], doc
+        for whole in _whole_documents(batches):
+            if whole.num_columns == 3:  # the cells read nothing but each other
+                values, done = _alike(whole, tables)
+                if done.any():
+                    yield pa.RecordBatch.from_arrays([*whole.columns[:2], pa.array(values)], names=["doc_id", "name", "value"]).filter(pa.array(done))
+                    whole = whole.filter(pa.array(~done))
+            if whole.num_rows:
+                yield _one_by_one(whole, tables, default)
+
+    return run
+
+
+def _starts(docs: pa.Array) -> np.ndarray:
+    """The rows where a document begins."""
+    if pa.types.is_integer(docs.type) or pa.types.is_string(docs.type):
+        after, before = docs[1:], docs[:-1]
+        fresh = pc.or_(pc.fill_null(pc.not_equal(after, before), False), pc.xor(pc.is_null(after), pc.is_null(before))).to_numpy(zero_copy_only=False)
+    else:
+        ids = docs.to_pylist()
+        fresh = np.fromiter((a != b and not (a != a and b != b) for a, b in zip(ids[1:], ids, strict=False)), bool, len(ids) - 1)
+    return np.concatenate([[0], 1 + np.flatnonzero(fresh)])
+
+
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list = []  # rows of the last document, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = int(_starts(batch.column(0))[-1])
+        if last:
+            yield pa.concat_batches([*held, batch.slice(0, last)])
+            held = []
+        elif held and len(_starts(pa.concat_arrays([held[-1].column(0)[-1:], batch.column(0)[:1]]))) > 1:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _one_by_one(whole: pa.RecordBatch, tables: tuple[str, ...], default: float) -> pa.RecordBatch:
+    import json
+
+    columns, out = [c.to_pylist() for c in whole.columns], ([], [], [])
+    ends = [*_starts(whole.column(0)).tolist(), whole.num_rows]
+    for low, high in zip(ends, ends[1:], strict=False):
+        own, heads = {}, []
+        if len(columns) == 3:
+            texts = dict(zip(columns[1][low:high], columns[2][low:high], strict=True))
+        else:
+            texts = {}
+            for name, text, held, head in zip(*[c[low:high] for c in columns[1:]], strict=True):
                 if head:
-                    heads.append(load(text))
+                    heads.append(json.loads(text))
                 else:
                     texts[name] = text
                     if held:
-                        own[name] = load(held)
-            if out[0]:
-                yield _answers(out, batch.schema.field(0).type)
-                out = ([], [], [])
-        if texts:
-            close()
-            yield _answers(out, batch.schema.field(0).type)
-
-    return run
+                        own[name] = json.loads(held)
+        for head in heads or [{}] if texts else []:
+            values = _document(texts, head, tables, default, own)
+            out[0].extend([columns[0][low]] * len(values))
+            out[1].extend(values)
+            out[2].extend(values.values())
+    return _answers(out, whole.schema.field(0).type)
+
+
+def _alike(whole: pa.RecordBatch, tables: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, whether a row has one). Documents whose cells differ in numbers only are evaluated
+    together, a cell of all of them at a time, where arrays and single numbers give the same: texts
+    of names, numbers, +, - and *. The other documents, and those with fewer than ALIKE of a kind,
+    are left."""
+    values, done = np.zeros(whole.num_rows), np.zeros(whole.num_rows, bool)
+    starts = _starts(whole.column(0))
+    if len(starts) < ALIKE or whole.column(1).null_count or whole.column(2).null_count:
+        return values, done
+    names, texts = whole.column(1).dictionary_encode(), whole.column(2).dictionary_encode()
+    known = [_checked(t, tables)[2] for t in texts.dictionary.to_pylist()]
+    kinds: dict = {}
+    kind = np.array([kinds.setdefault(t[0], len(kinds)) if t else -1 for t in known])
+    numbers = np.zeros((len(known), max((len(t[1]) for t in known if t), default=0)))
+    for k, t in enumerate(known):
+        if t:
+            numbers[k, : len(t[1])] = t[1]
+    shapes, called = list(kinds), names.dictionary.to_pylist()
+    name, text = (c.indices.to_numpy().astype(np.int64) for c in (names, texts))
+    sizes = np.diff([*starts, whole.num_rows])
+    document = np.repeat(np.arange(len(starts)), sizes)
+    order = np.lexsort((name, document))
+    cell, code = name[order], kind[text[order]]
+    odd = code < 0
+    odd[1:] |= (cell[1:] == cell[:-1]) & (document[1:] == document[:-1])
+    fine = np.ones(len(starts), bool)
+    fine[document[odd]] = False
+    both, groups = cell * (len(shapes) + 1) + code, {}
+    for d in np.flatnonzero(fine).tolist():
+        groups.setdefault(both[starts[d] : starts[d] + sizes[d]].tobytes(), []).append(d)
+    for docs in groups.values():
+        if len(docs) < ALIKE:
+            continue
+        rows = order[starts[docs][:, None] + np.arange(sizes[docs[0]])]
+        mine = {called[name[r]]: (k, shapes[kind[text[r]]]) for k, r in enumerate(rows[0].tolist())}
+        if (in_turn := _in_turn({n: named(shape) for n, (_, shape) in mine.items()})) is None:
+            continue
+        found: dict = {}
+        with np.errstate(all="ignore"):
+            for n in in_turn:
+                k, shape = mine[n]
+                found[n] = values[rows[:, k]] = over_arrays(shape, numbers[text[rows[:, k]]], found)
+        done[rows] = True
+    return values, done
+
+
+def _in_turn(reads: dict[str, frozenset]) -> list[str] | None:
+    """Names in the order of their needs; None if one is unknown, or on a cycle."""
+    left, users = {n: len(ms) for n, ms in reads.items()}, {}
+    for n, ms in reads.items():
+        for m in ms:
+            if m not in reads:
+                return None
+            users.setdefault(m, []).append(n)
+    ready = [n for n, k in left.items() if not k]
+    for n in ready:
+        for u in users.get(n, ()):
+            left[u] -= 1
+            if not left[u]:
+                ready.append(u)
+    return ready if len(ready) == len(reads) else None
 
 
 def _answers(out: tuple[list, list, list], kind: pa.DataType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["doc_id", "name", "value"])
 
 
-@lru_cache(maxsize=10_000)
+@lru_cache(maxsize=20_000)
 def _checked(text: str, tables: tuple[str, ...]):
-    """(function, names that it reads) of a cell's text; (None, none) where it can't be parsed."""
+    """(function, names that it reads, template) of a cell's text; (None, none, None) where it can't be parsed."""
     try:
         tree = parser.parse(scoped(text, list(tables)))
-        return prepared(tree), frozenset(parser.names(tree))
+        return prepared(tree), frozenset(parser.names(tree)), template(tree)
     except FormulaError:
-        return None, frozenset()
+        return None, frozenset(), None
 
 
 _NOTHING: dict = {}
@@ -338,7 +449,7 @@ def _document(texts: dict[str, str], scalars: Mapping, tables: tuple[str, ...],
     values: dict[str, float] = {}
     checked, left, users, ready = {}, {}, {}, []
     for n, text in texts.items():
-        checked[n] = run, names = _checked(text, tables)
+        checked[n] = run, names, _ = _checked(text, tables)
         mine, needs = own.get(n, _NOTHING), 0
         for m in names:
             if m in texts and m not in mine:

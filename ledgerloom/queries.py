@@ -474,28 +474,33 @@ def q_document_two_stage(spark, d):
     return headers.select("o_orderkey", F.round("subtotal", 4).alias("subtotal"), F.round("grand", 4).alias("grand"), "n")
 
 
+def _lines(spark, d):
+    """lineitem, dealt by order over tasks of a counted number of rows. n: a line's place in its order."""
+    lines = table(spark, d, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    return lines.repartition(documents.tasks_for(spark, lines.count()), "l_orderkey").withColumn("n", place)
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
 SELECT l_orderkey AS doc_id, 'items__' || n || '__amount' AS name, l_quantity * 2 + CASE WHEN n > 1 THEN lag(l_quantity * 2) OVER (PARTITION BY l_orderkey ORDER BY n) ELSE 0 END AS value FROM l WHERE n <= 2""")
 def q_document_cells(spark, d):
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    first = table(spark, d, "lineitem").withColumn("n", place).filter("n <= 2")
+    first = _lines(spark, d).filter("n <= 2")
     text = F.when(F.col("n") == 1, F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2"))).otherwise(F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2 + items.1.amount")))
     rows = documents.cells(first.withColumn("amount", text).withColumn("n", F.col("n").cast("string")), "items", "n", ["amount"], "l_orderkey")
     scalars = first.select(F.col("l_orderkey").alias("doc_id")).distinct()
-    return documents.evaluate_cells(rows, scalars, ["items"])
+    return documents.evaluate_cells(rows, scalars, ["items"], dealt=True)
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem)
 SELECT l_orderkey AS doc_id, 'items__' || n || '__amount' AS name, sum(l_quantity * 2) OVER (PARTITION BY l_orderkey ORDER BY n) AS value FROM l""")
 def q_document_cells_whole(spark, d):
     """Every line of an order is a cell; each but the first reads the one before."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = table(spark, d, "lineitem").withColumn("n", place)
+    lines = _lines(spark, d)
     before = F.when(F.col("n") > 1, F.concat(F.lit(" + items."), (F.col("n") - 1).cast("string"), F.lit(".amount"))).otherwise("")
     text = F.concat(F.col("l_quantity").cast("string"), F.lit(" * 2"), before)
     rows = documents.cells(lines.withColumn("amount", text).withColumn("n", F.col("n").cast("string")), "items", "n", ["amount"], "l_orderkey")
     scalars = lines.select(F.col("l_orderkey").alias("doc_id")).distinct()
-    return documents.evaluate_cells(rows, scalars, ["items"])
+    return documents.evaluate_cells(rows, scalars, ["items"], dealt=True)
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_quantity * (2 + o_custkey % 3) AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -504,9 +509,7 @@ f AS (SELECT l_orderkey, x FROM l WHERE n = 1)
 SELECT l_orderkey AS doc_id, 'L' || n AS name, CAST(sum(x) OVER (PARTITION BY l_orderkey ORDER BY n) AS DOUBLE) AS value FROM l UNION ALL SELECT o_orderkey, 'rate', CAST(rate AS DOUBLE) FROM o UNION ALL SELECT l_orderkey, 'net', x + 1 FROM f UNION ALL SELECT l_orderkey, 'gross', (x + 1) * 2 FROM f""")
 def q_document_cross_refs(spark, d):
     """Rows read header formulas and the row before; header formulas read a row."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
-    lines = table(spark, d, "lineitem")
-    lines = lines.repartition(documents.tasks_for(spark, lines.count()), "l_orderkey").withColumn("n", place)
+    lines = _lines(spark, d)
     text = F.concat(F.lit("l_quantity * rate"), F.when(F.col("n") > 1, F.concat(F.lit(" + L"), (F.col("n") - 1).cast("string"))).otherwise(""))
     rows = lines.select(F.col("l_orderkey").alias("o_orderkey"), "n", "l_quantity", text.alias("text"))
     headers = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(rows.select("o_orderkey").distinct(), "o_orderkey", "left_semi")

@@ -549,3 +549,41 @@ def test_documents_are_dealt_by_the_count_of_their_rows(spark, monkeypatch, temp
     done, out = e.apply(headers, {"items": rows})
     assert {r["doc_id"]: r["total"] for r in done.collect()} == {d: 8.0 * d if d < 18 else 2.0 * d for d in range(20)}
     assert done.rdd.getNumPartitions() == out["items"].rdd.getNumPartitions() == 8 and out["items"].count() == 73
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_documents_that_differ_in_numbers_are_evaluated_together(monkeypatch, kind):
+    import random
+
+    import pyarrow as pa
+
+    from ledgerloom.operators import documents
+
+    r = random.Random(5)
+    number = lambda: r.choice(["2", "-3", "0.5", "(17.0 * 2)", "((4 - 1) * 2)", "(1e308 * 10)", "-(0.0)", "True"])
+    odd = [{"a": "b", "b": "a + 1", "c": "2"}, {"a": "1 / 0", "b": "a + 1"}, {"a": "pi * 2"}, {"a": "missing + 1", "b": "a"}, {"a": "9007199254740993 * b", "b": "1.0"}, {"a": "3 *", "b": "max(1, 2)"}, {"a": "'x'"}]
+    docs = [{"a": number(), "b": f"a * {number()} - {number()}", "c": f"-(b + {number()}) + a"} for _ in range(20)] + [{"c": f"b * {number()}", "b": number()} for _ in range(9)] + odd + [{"a": "b - 1", "b": "5"}] * 7
+    docs = docs + [{"a": "1.5 * b.x.y", "b__x__y": number()} for _ in range(8)]
+    keys = list(range(len(docs)))
+    keys[11], key_type = None, {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[kind]
+    keys = [k if k is None or kind == "long" else float("nan") if kind == "double" and k == 12 else float(k) if kind == "double" else f"d{k}" for k in keys]
+    single, calls = documents._document, []
+    monkeypatch.setattr(documents, "_document", lambda *a: calls.append(1) or single(*a))
+    rows = [(k, n, t) for k, cells in zip(keys, docs, strict=True) for n, t in r.sample(sorted(cells.items()), len(cells))]
+    rows += [(keys[-1], "a", "2 * 3")]  # a name twice: the last counts
+    want = [(repr(k), n, repr(v)) for k, cells in zip(keys, [*docs[:-1], docs[-1] | {"a": "2 * 3"}], strict=True) for n, v in single(cells, {}, ("b",), -1.0, {}).items()]
+    whole = pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], key_type), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows])], names=["doc_id", "name", "text"])
+    for size in (1, 2, 7, len(rows)):
+        calls.clear()
+        got = [(repr(x["doc_id"]), x["name"], repr(x["value"])) for out in documents._evaluator(("b",), -1.0)(whole.slice(k, size) for k in range(0, len(rows), size)) for x in out.to_pylist()]
+        assert sorted(got) == sorted(want)
+    assert len(calls) == len(odd) + 7 + 8  # documents with few of their kind, and, of the last eight, one has a name twice
+
+
+def test_cells_over_a_window_are_shuffled_once(spark):
+    from ledgerloom.queries import QUERIES
+    from tests.conftest import SF
+
+    for name in ("q_document_cells", "q_document_cells_whole"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == plan.count("Sort [") == 1, plan
